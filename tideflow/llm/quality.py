@@ -38,6 +38,7 @@ class Settings:
     rank: int = 6
     most: int = 3000
     epochs: int = 12
+    least_steps: int = 1500
     batch: int = 64
     rate: float = 0.08
     ridge: float = 2e-4
@@ -165,7 +166,7 @@ def fit(rows: pd.DataFrame, settings: Settings) -> Model:
     linear, factors, bias = np.zeros(size), rng.normal(0, 0.05, (size, k)), 0.0
     seen_linear, seen_factors = np.full(size, 1e-3), np.full((size, k), 1e-3)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    for _ in range(settings.epochs):
+    for _ in range(max(settings.epochs, -(-settings.least_steps * settings.batch // len(y)))):
         order = rng.permutation(len(y))
         for at in range(0, len(order), settings.batch):
             part = order[at : at + settings.batch]

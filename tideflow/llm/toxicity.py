@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on ordinary text, one on the parts of toxic text
-that recur there and are rare in ordinary text. A document is cut into windows of a few words;
-each window is compressed once with the ordinary dictionary and once with the ordinary
+that recur there and are rare in ordinary text. A document is cut into windows of ``window_words``
+words; each window is compressed once with the ordinary dictionary and once with the ordinary
 dictionary followed by the toxic one. The bytes that the toxic dictionary saves, taken over all
 windows of the whole text, are calibrated to a probability on labelled rows that neither
 dictionary has seen.
@@ -29,22 +29,25 @@ from tideflow.llm.common import extended, fold, logistic, logistic_score, text_o
 
 WORD = re.compile(r"\w+")
 GAINS = (2, 3, 4, 5, 6, 7)
+#: Stands before every scored window and in both dictionaries: its match pays for a block's fixed
+#: bytes, so that even one word's savings show in the compressed length.
+LEAD = bytes(range(1, 32)) + bytes(range(224, 255))
 
 
 @dataclass(frozen=True)
 class Settings:
     """most: labelled rows of each class that are fitted on. toxic_weight: a toxic row's weight in the calibration."""
 
-    window_words: int = 4
+    window_words: int = 1
     ordinary_window_words: int = 8
     ordinary_bytes: int = 16384
     toxic_bytes: int = 4096
     level: int = 3
-    least_documents: int = 3
+    least_contexts: int = 3
     least_ratio: float = 20.0
     most: int = 2000
     most_samples: int = 30000
-    toxic_weight: float = 3.0
+    toxic_weight: float = 2.0
     threshold: float = 0.5
 
 
@@ -52,8 +55,17 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def windows(words: list[str], size: int) -> list[bytes]:
-    return [f" {' '.join(words[i : i + size])} ".encode() for i in range(0, len(words), size)]
+def windows(words: list[str], size: int, lead: bytes = b"") -> list[bytes]:
+    return [lead + f" {' '.join(words[i : i + size])} ".encode() for i in range(0, len(words), size)]
+
+
+def surroundings(texts: list[str]) -> Counter:
+    """In how many different pairs of neighbours each word stands; copies of a text add nothing."""
+    around = set()
+    for text in texts:
+        words = ["", *words_of(text), ""]
+        around.update(zip(words, words[1:], words[2:]))
+    return Counter(w for _, w, _ in around)
 
 
 def compressor(content: bytes, level: int):
@@ -66,6 +78,20 @@ def compressor(content: bytes, level: int):
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress
 
 
+class Gains(dict):
+    """window -> bytes that the toxic dictionary saves; forgets all at half a million windows."""
+
+    def __init__(self, plain, marked):
+        super().__init__()
+        self.plain, self.marked = plain, marked
+
+    def __missing__(self, window: bytes) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        gain = self[window] = len(self.plain(window)) - len(self.marked(window))
+        return gain
+
+
 def trained(samples: list[bytes], size: int, level: int) -> bytes:
     """A zstandard dictionary; too few samples for the trainer: the samples themselves."""
     try:
@@ -82,14 +108,16 @@ class Model:
     calibration: tuple | None = None
     constant: float | None = None
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        plain, marked = compressor(self.ordinary, self.settings.level), compressor(self.ordinary + self.toxic, self.settings.level)
+    def gains(self) -> Gains:
+        return Gains(compressor(self.ordinary, self.settings.level), compressor(self.ordinary + self.toxic, self.settings.level))
+
+    def features(self, texts: list[str], gains: Gains) -> np.ndarray:
         rows = np.zeros((len(texts), 5 + 2 * len(GAINS)))
         for k, text in enumerate(texts):
-            cut = windows(words_of(text), self.settings.window_words)
+            cut = windows(words_of(text), self.settings.window_words, LEAD)
             if not cut:
                 continue
-            gain = np.array([len(plain(w)) - len(marked(w)) for w in cut])
+            gain = np.array([gains[w] for w in cut])
             top = np.sort(gain)[::-1][:3]
             rows[k, : len(top)] = top
             rows[k, 3] = gain.mean()
@@ -99,10 +127,10 @@ class Model:
             rows[k, -1] = np.log1p(len(gain))
         return rows
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str], gains: Gains) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return logistic_score(self.calibration, self.features(texts))
+        return logistic_score(self.calibration, self.features(texts, gains))
 
 
 def fit(rows: pd.DataFrame, settings: Settings) -> Model:
@@ -113,15 +141,16 @@ def fit(rows: pd.DataFrame, settings: Settings) -> Model:
     (ordinary, clean), (toxic, bad) = ((c[::2], c[1::2]) for c in classes)
     samples = [w for text in ordinary for w in windows(words_of(text), settings.ordinary_window_words)]
     order = np.random.default_rng(0).permutation(len(samples))[: settings.most_samples]
-    base = trained([samples[i] for i in order], settings.ordinary_bytes, settings.level)
-    seen = [Counter(w for text in texts for w in set(words_of(text))) for texts in (ordinary, toxic)]
-    least = max(2, min(settings.least_documents, len(toxic) // 4))
-    recurring = [(w, n) for w, n in sorted(seen[1].items()) if n >= least and n / len(toxic) >= settings.least_ratio * (seen[0][w] + 0.25) / (len(ordinary) + 1)]
+    base = LEAD + trained([samples[i] for i in order], settings.ordinary_bytes, settings.level)
+    seen = [surroundings(texts) for texts in (ordinary, toxic)]
+    total = [max(1, sum(s.values())) for s in seen]
+    least = max(2, min(settings.least_contexts, len(toxic) // 4))
+    recurring = [(w, n) for w, n in sorted(seen[1].items()) if n >= least and n / total[1] >= settings.least_ratio * (seen[0][w] + 0.25) / total[0]]
     marks = [f" {w} ".encode() for w, n in recurring for _ in range(n)]
     if marks:
         marks *= 1 + 4 * settings.toxic_bytes // sum(map(len, marks))
     model = Model(settings, base, trained(marks, settings.toxic_bytes, settings.level) if marks else b"")
-    x = model.features(clean + bad)
+    x = model.features(clean + bad, model.gains())
     y = np.r_[np.zeros(len(clean)), np.ones(len(bad))]
     return Model(settings, model.ordinary, model.toxic, logistic(x, y, settings.toxic_weight))
 
@@ -138,9 +167,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def make():
         model = shared.value
+        gains = model.gains()
 
         def work(part):
-            value = model.score(part.column("__text").to_pylist())
+            value = model.score(part.column("__text").to_pylist(), gains)
             return [value, (value >= model.settings.threshold).astype("int32")]
 
         return work
