@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideflow.llm import chat, html_text, licences, media, mixing, quality, toxicity
+from tideflow.llm import chat, decontamination, html_text, licences, media, mixing, ngram_join, quality, toxicity
 from tideflow.llm.common import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -22,6 +26,10 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -47,8 +55,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_ngram_jaccard_join,
         op2_chat_formatting,
         op4_license_scans,
+        op5_benchmark_decontamination,
         op6_mixing,
         op7_toxicity,
         op8_quality,
@@ -78,7 +88,9 @@ def _op2_sql() -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.oracle(),
     "op2_chat_formatting": _op2_sql(),
     "op4_license_scans": licences.oracle(),
+    "op5_benchmark_decontamination": decontamination.oracle(),
     "op6_mixing": mixing.oracle(),
 }
