@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideflow.llm import chat, decontamination, html_text, licences, media, mixing, ngram_join, quality, toxicity
+from tideflow.llm import chat, decontamination, html_text, licences, media, mixing, ngram_join, quality, suffix_dedup, toxicity
 from tideflow.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionByName(extra)))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_jaccard_join,
         op2_chat_formatting,
+        op3_suffix_array_dedup,
         op4_license_scans,
         op5_benchmark_decontamination,
         op6_mixing,
