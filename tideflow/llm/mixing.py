@@ -35,7 +35,7 @@ class Settings:
 
     flatten: float = 0.7
     rounds: int = 12
-    bound: float = 5.0
+    bound: float = 2.0
     seed: str = "mix"
     most_cells: int = 50_000
     targets: dict[str, dict[str, float]] = field(default_factory=dict)
