@@ -251,8 +251,9 @@ def connect(make: Callable[[], Operator], *inputs: DataFrame, data_type: str, ke
         raise TypeError("an operator derives from one of the shapes")
     if len(inputs) != wanted:
         raise TypeError(f"{type(example).__name__} takes {wanted} input(s)")
-    callbacks = [n for n in ("on_data", "on_left_data", "on_right_data", "on_watermark", "run") if n in type(example).__dict__]
-    if not callbacks:
+    base = next(b for b in (Sink, OneInOneOut, TwoInOneOut, OneInTwoOut, Operator) if isinstance(example, b))
+    names = ("on_data", "on_left_data", "on_right_data", "on_watermark", "run")
+    if all(getattr(type(example), n, None) is getattr(base, n, None) for n in names):
         warnings.warn(f"{type(example).__name__} overrides no callback", stacklevel=2)
     sides = ("in",) if wanted == 1 else ("left", "right")
     own = F.col(key).cast("string") if key else F.lit("")
