@@ -40,7 +40,7 @@ def test_punctuated_batches_equal_batch(spark, tmp_path):
 
 def test_operators_on_streams(spark, tmp_path):
     folder = str(tmp_path / "in")
-    spark.range(20).select(F.col("id").alias("t"), F.timestamp_seconds(F.col("id") + 100_000).alias("et"), F.col("id").alias("data")).repartition(3)  # a watermark starts at second 0.write.parquet(folder)
+    spark.range(20).select(F.col("id").alias("t"), F.timestamp_seconds(F.col("id") + 100_000).alias("et"), F.col("id").alias("data")).repartition(3).write.parquet(folder)  # a watermark starts at second 0
 
     def build(df):
         base = Stream(df.select(timestamps.time("t").alias("ts"), "et", "data"))
