@@ -1,8 +1,9 @@
 """Main text of web pages by a tree-structured graphical model.
 
-A page is parsed into its tree of elements. Each element is a binary variable (content or not).
-Its unary potential is a logistic model of tag, class and id words, text length, link share and
-depth; each parent-child edge has a 2 x 2 potential. Sum-product messages go up the tree and down
+A page is parsed into its tree of block elements; the text of inline elements (links, emphasis)
+belongs to the block they stand in. Each element is a binary variable (content or not).
+Its unary potential is a logistic model of tag, class and id words, text length, link share,
+depth and the tags and words of the elements around it; each parent-child edge has a 2 x 2 potential. Sum-product messages go up the tree and down
 again and give exact marginals; the text of elements whose content marginal is 0.5 or more is kept.
 
 The model is trained on labelled pages, where every element's label is known by construction:
@@ -32,9 +33,10 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time tt u var del ins big acronym label img br wbr".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time tt u var del big acronym label img br wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+OUTER = frozenset(("#root", "html", "body"))
 SCOPE = frozenset("article aside body div footer form header html main nav ol section table ul dl td th tr blockquote figure".split())
 
 
@@ -59,16 +61,16 @@ class Page:
 def parse(source: str) -> Page:
     page, stack, block, at = Page([Node("#root", -1, 0)]), [0], 0, 0
     nodes, pieces = page.nodes, page.pieces
+    links = 0  # open links
 
     def text(raw: str) -> None:
         said = html.unescape(raw) if "&" in raw else raw
         if said:
             pieces.append((stack[-1], block, said))
             n = len(said.strip())
-            linked = any(nodes[i].tag == "a" for i in stack[-3:])
             for i in stack:
                 nodes[i].chars += n
-                nodes[i].linked += n * linked
+                nodes[i].linked += n * (links > 0)
 
     for m in TOKEN.finditer(source):
         if m.start() > at:
@@ -77,41 +79,35 @@ def parse(source: str) -> Page:
         tag = (m[3] or "").lower()
         if not tag:
             continue
+        if tag == "br":
+            pieces.append((stack[-1], block, " "))
+        if tag in INLINE:
+            if tag == "a":
+                links = 0 if m[2] else 1
+            continue
+        block += 1
         if m[2]:
             for k in range(len(stack) - 1, 0, -1):
                 open_tag = nodes[stack[k]].tag
                 if open_tag == tag:
                     del stack[k:]
+                    links = 0
                     break
-                if tag in INLINE and open_tag not in INLINE:
-                    break  # an inline end tag does not close blocks
                 if tag not in SCOPE and open_tag in SCOPE:
                     break
-            if tag not in INLINE:
-                block += 1
-            continue
-        if tag == "br":
-            pieces.append((stack[-1], block, " "))
             continue
-        if tag not in INLINE:
-            block += 1
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    open_tag = nodes[stack[k]].tag
-                    if open_tag == "p":
-                        del stack[k:]
-                        break
-                    if open_tag not in INLINE:
-                        break
-            kinds = OWN_KIND.get(tag)
-            if kinds:
-                for k in range(len(stack) - 1, 0, -1):
-                    open_tag = nodes[stack[k]].tag
-                    if open_tag in kinds:
-                        del stack[k:]
-                        break
-                    if open_tag in SCOPE and open_tag not in kinds:
-                        break
+        if tag in CLOSES_P and nodes[stack[-1]].tag == "p":
+            stack.pop()
+            links = 0
+        kinds = OWN_KIND.get(tag)
+        if kinds:
+            for k in range(len(stack) - 1, 0, -1):
+                open_tag = nodes[stack[k]].tag
+                if open_tag in kinds:
+                    del stack[k:]
+                    break
+                if open_tag in SCOPE and open_tag not in kinds:
+                    break
         if tag in VOID:
             continue
         names = tuple(w.lower() for _, value in ATTRIBUTE.findall(m[4]) for w in WORDS.findall(value)) if m[4] else ()
@@ -123,13 +119,25 @@ def parse(source: str) -> Page:
     return page
 
 
-def evidence(page: Page) -> list[list[str]]:
-    """Feature names of each element."""
-    out = []
+def evidence(page: Page) -> tuple[list[list[str]], list[list[str]]]:
+    """Feature names of each element, and those that it gives to all elements inside it."""
+    own, given = [], []
     for node in page.nodes:
         size = min(6, len(str(node.chars)) if node.chars else 0)
         share = int(4 * node.linked / node.chars) if node.chars else 5
-        out.append([f"tag={node.tag}", f"size={size}", f"links={share}", f"depth={min(node.depth, 6)}", f"tag+links={node.tag},{share}", *{f"name={w}" for w in node.names}])
+        names = {f"name={w}" for w in node.names}
+        own.append([f"tag={node.tag}", f"size={size}", f"links={share}", f"depth={min(node.depth, 6)}", f"tag+links={node.tag},{share}", *names])
+        given.append([] if node.tag in OUTER else [f"in={node.tag}", *(f"in={w}" for w in set(node.names))])
+    return own, given
+
+
+def logits(page: Page, bias: float, weights: dict[str, float]) -> list[float]:
+    own, given = evidence(page)
+    get, inherited, out = weights.get, [0.0] * len(own), []
+    for i, node in enumerate(page.nodes):
+        if node.parent >= 0:
+            inherited[i] = inherited[node.parent] + sum(get(f, 0.0) for f in given[node.parent])
+        out.append(min(20.0, max(-20.0, bias + inherited[i] + sum(get(f, 0.0) for f in own[i]))))
     return out
 
 
@@ -143,10 +151,8 @@ class Model:
         """Content marginal of each element, by one upward and one downward pass."""
         nodes, n = page.nodes, len(page.nodes)
         (e00, e01), (e10, e11) = self.edge
-        get = self.weights.get
         unary = []
-        for names in evidence(page):
-            x = min(20.0, max(-20.0, self.bias + sum(get(f, 0.0) for f in names)))
+        for x in logits(page, self.bias, self.weights):
             p = 1.0 / (1.0 + math.exp(-x))
             unary.append((1.0 - p, p))
         belief = list(unary)  # product of the unary potential and the children's messages
@@ -206,7 +212,8 @@ def labelled_pages(count: int = 500, seed: int = 7) -> list[tuple[str, str]]:
 
     def element(tag: str, label: int, body: str, names: str = "") -> str:
         name = f' {pick(("class", "id"))}="{names}"' if names else ""
-        return f'<{tag} data-y="{label}"{name}>{body}</{tag}>'
+        mark = "" if tag in INLINE else f' data-y="{label}"'
+        return f"<{tag}{mark}{name}>{body}</{tag}>"
 
     def links(n: int) -> str:
         return "".join(element("li", 0, element("a", 0, words(int(rng.integers(1, 4))))) for _ in range(n))
@@ -254,7 +261,7 @@ def labelled_pages(count: int = 500, seed: int = 7) -> list[tuple[str, str]]:
 
     pages = []
     for _ in range(count):
-        body = (element("h1", 1, words(int(rng.integers(1, 9)))) if chance(0.8) else "") + "".join(paragraph() for _ in range(int(rng.integers(1, 14))))
+        body = (element("h1", 1, words(int(rng.integers(1, 9)))) if chance(0.8) else "") + "".join(paragraph() for _ in range(int(rng.integers(1, 14) if chance(0.9) else rng.integers(14, 120))))
         for kind in ("ad", "share", "side", "form", "notice"):
             if chance(0.12):
                 body += noise(kind) + (paragraph() if chance(0.6) else "")
@@ -287,7 +294,11 @@ def fit(pages: list[tuple[str, str]] | None = None) -> Model:
         y = [1, *map(int, LABEL.findall(marked))]
         if len(y) != len(page.nodes):
             raise ValueError("a labelled page must label each of its elements in order")
-        rows += evidence(page)
+        own, given = evidence(page)
+        inside: list[list[str]] = []
+        for i, node in enumerate(page.nodes):
+            inside.append(inside[node.parent] + given[node.parent] if node.parent >= 0 else [])
+            rows.append(own[i] + inside[i])
         labels += y
         for node, own in zip(page.nodes[1:], y[1:]):
             pairs[y[node.parent], own] += 1
@@ -301,7 +312,7 @@ def fit(pages: list[tuple[str, str]] | None = None) -> Model:
         for label in (0, 1):
             if counts[label]:
                 row = np.zeros(len(names))
-                row[list(key)] = 1
+                np.add.at(row, list(key), 1)
                 x.append(row)
                 y.append(label)
                 w.append(counts[label])
