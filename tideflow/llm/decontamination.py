@@ -114,5 +114,5 @@ def oracle(settings: Settings = Settings(), documents: str = "documents") -> str
     WITH {grams("d", "doc_id")}, {grams("b", "item_id")},
     sizes AS (SELECT item_id, h, count(*) AS item_grams FROM b GROUP BY ALL),
     f AS (SELECT d.doc_id, d.h AS dh, b.item_id, b.h, count(*) AS shared FROM d JOIN b USING (gram) GROUP BY ALL)
-    SELECT doc_id, item_id, shared, item_grams, round(shared / item_grams, 6) AS containment FROM f JOIN sizes USING (item_id, h)
+    SELECT doc_id, item_id, shared, item_grams, round(shared / item_grams, 6) AS containment FROM f JOIN (SELECT item_id AS i, h AS k, item_grams FROM sizes) ON h = k AND item_id IS NOT DISTINCT FROM i
     WHERE shared >= {settings.threshold} * item_grams"""

@@ -265,7 +265,8 @@ def covers(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(__id, __hash, spans): for each document with repeats its removed ranges, start << 32 | end, unmerged."""
     rows = keyed(docs)
     found = anchors(rows, settings)
-    counts = found.groupBy("token").agg(F.count("*").alias("__n"), F.min("context").alias("__low"), F.max("context").alias("__high")).where("__n > 1").select("token", (F.col("__low") != F.col("__high")).alias("several"))
+    # written first, so that the join's sides are plain shuffles, which adaptive execution can split
+    counts = checkpointed(found.groupBy("token").agg(F.count("*").alias("__n"), F.min("context").alias("__low"), F.max("context").alias("__high")).where("__n > 1").select("token", (F.col("__low") != F.col("__high")).alias("several")))
     hits = checkpointed(found.join(counts, "token"))
     windows = F.pmod(F.col("shape"), F.lit(256))
     one = hits.where("several").groupBy("token", "context").agg(F.min(F.struct("doc_id", "text_hash", "start", "shape")).alias("__one"), (F.count("*") > 1).alias("again"))
