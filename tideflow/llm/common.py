@@ -86,8 +86,9 @@ def logistic(x: np.ndarray, y: np.ndarray, positive: float = 1.0, ridge: float =
 
 
 def logistic_score(model, x: np.ndarray) -> np.ndarray:
+    """Rounded, so that a row's score does not depend on the batch that it is in."""
     mean, scale, w = model
-    return sigmoid(np.c_[(x - mean) / scale, np.ones(len(x))] @ w)
+    return np.round(sigmoid(np.c_[(x - mean) / scale, np.ones(len(x))] @ w), 9)
 
 
 def sliced(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

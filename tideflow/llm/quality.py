@@ -132,7 +132,8 @@ class Model:
     def score(self, texts: list[str], buckets: Buckets) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return sigmoid(self.margin(*self.design(texts, buckets)))
+        # rounded, so that a row's score does not depend on the batch that it is in
+        return np.round(sigmoid(self.margin(*self.design(texts, buckets))), 9)
 
 
 def binned(stats: np.ndarray, edges: np.ndarray, settings: Settings) -> np.ndarray:

@@ -3,9 +3,10 @@
 Two zstandard dictionaries are trained: one on ordinary text, one on the parts of toxic text
 that recur there and are rare in ordinary text. A document is cut into windows of ``window_words``
 words; each window is compressed once with the ordinary dictionary and once with the ordinary
-dictionary followed by the toxic one. The bytes that the toxic dictionary saves, taken over all
-windows of the whole text, are calibrated to a probability on labelled rows that neither
-dictionary has seen.
+dictionary followed by the toxic one. The bytes that the toxic dictionary saves, in all windows and
+in those that it covers whole (their compressed length is that of most of its own words), are
+counted at several thresholds over the whole text and calibrated to a probability on labelled rows
+that neither dictionary has seen.
 
 Defined results: a null text is the empty text and is scored like it; repeated rows get equal
 scores; with no labelled row of one class the score is that of the other class (0 or 1 for a
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -32,22 +33,27 @@ GAINS = (2, 3, 4, 5, 6, 7)
 #: Stands before every scored window and in both dictionaries: its match pays for a block's fixed
 #: bytes, so that even one word's savings show in the compressed length.
 LEAD = bytes(range(1, 32)) + bytes(range(224, 255))
+#: Stands after every scored window: the matcher starts no match in a block's last eight bytes.
+TAIL = bytes(range(128, 137))
 
 
 @dataclass(frozen=True)
 class Settings:
-    """most: labelled rows of each class that are fitted on. toxic_weight: a toxic row's weight in the calibration."""
+    """most: labelled rows of each class that are fitted on. toxic_weight: a toxic row's weight in the calibration.
+    most_share: shares of a text's windows count up to this, so that very short texts are not off the scale."""
 
     window_words: int = 1
     ordinary_window_words: int = 8
     ordinary_bytes: int = 16384
     toxic_bytes: int = 4096
-    level: int = 3
+    level: int = 13
     least_contexts: int = 3
     least_ratio: float = 20.0
     most: int = 2000
     most_samples: int = 30000
     toxic_weight: float = 2.0
+    ridge: float = 1.0
+    most_share: float = 0.05
     threshold: float = 0.5
 
 
@@ -55,8 +61,8 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def windows(words: list[str], size: int, lead: bytes = b"") -> list[bytes]:
-    return [lead + f" {' '.join(words[i : i + size])} ".encode() for i in range(0, len(words), size)]
+def windows(words: list[str], size: int, lead: bytes = b"", tail: bytes = b"") -> list[bytes]:
+    return [lead + f" {' '.join(words[i : i + size])} ".encode() + tail for i in range(0, len(words), size)]
 
 
 def surroundings(texts: list[str]) -> Counter:
@@ -79,17 +85,18 @@ def compressor(content: bytes, level: int):
 
 
 class Gains(dict):
-    """window -> bytes that the toxic dictionary saves; forgets all at half a million windows."""
+    """window -> (bytes that the toxic dictionary saves, compressed length with it); forgets all at half a million windows."""
 
     def __init__(self, plain, marked):
         super().__init__()
         self.plain, self.marked = plain, marked
 
-    def __missing__(self, window: bytes) -> int:
+    def __missing__(self, window: bytes) -> tuple[int, int]:
         if len(self) >= 500_000:
             self.clear()
-        gain = self[window] = len(self.plain(window)) - len(self.marked(window))
-        return gain
+        length = len(self.marked(window))
+        self[window] = value = (len(self.plain(window)) - length, length)
+        return value
 
 
 def trained(samples: list[bytes], size: int, level: int) -> bytes:
@@ -105,6 +112,7 @@ class Model:
     settings: Settings
     ordinary: bytes = b""
     toxic: bytes = b""
+    whole: int = 0  # compressed length of a window that the toxic dictionary covers
     calibration: tuple | None = None
     constant: float | None = None
 
@@ -112,19 +120,20 @@ class Model:
         return Gains(compressor(self.ordinary, self.settings.level), compressor(self.ordinary + self.toxic, self.settings.level))
 
     def features(self, texts: list[str], gains: Gains) -> np.ndarray:
-        rows = np.zeros((len(texts), 5 + 2 * len(GAINS)))
+        n = len(GAINS)
+        rows = np.zeros((len(texts), 5 + 4 * n))
         for k, text in enumerate(texts):
-            cut = windows(words_of(text), self.settings.window_words, LEAD)
+            cut = windows(words_of(text), self.settings.window_words, LEAD, TAIL)
             if not cut:
                 continue
-            gain = np.array([gains[w] for w in cut])
-            top = np.sort(gain)[::-1][:3]
-            rows[k, : len(top)] = top
-            rows[k, 3] = gain.mean()
-            counts = np.array([(gain >= g).sum() for g in GAINS])
-            rows[k, 4 : 4 + len(GAINS)] = np.log1p(counts)
-            rows[k, 4 + len(GAINS) : -1] = counts / len(gain)
-            rows[k, -1] = np.log1p(len(gain))
+            gain, length = np.array([gains[w] for w in cut]).T
+            covered = np.where(length <= self.whole, gain, 0)
+            top = np.sort(covered)[::-1][:2]
+            rows[k, :3] = np.log1p(len(cut)), gain.mean(), covered.mean()
+            rows[k, 3 : 3 + len(top)] = top
+            counts = np.array([(x >= g).sum() for x in (gain, covered) for g in GAINS])
+            rows[k, 5 : 5 + 2 * n] = np.log1p(counts)
+            rows[k, 5 + 2 * n :] = np.minimum(counts / len(cut), self.settings.most_share)
         return rows
 
     def score(self, texts: list[str], gains: Gains) -> np.ndarray:
@@ -148,11 +157,17 @@ def fit(rows: pd.DataFrame, settings: Settings) -> Model:
     recurring = [(w, n) for w, n in sorted(seen[1].items()) if n >= least and n / total[1] >= settings.least_ratio * (seen[0][w] + 0.25) / total[0]]
     marks = [f" {w} ".encode() for w, n in recurring for _ in range(n)]
     if marks:
-        marks *= 1 + 4 * settings.toxic_bytes // sum(map(len, marks))
-    model = Model(settings, base, trained(marks, settings.toxic_bytes, settings.level) if marks else b"")
+        copies = marks * (1 + 4 * settings.toxic_bytes // sum(map(len, marks)))
+        learned = trained(copies, settings.toxic_bytes, settings.level)
+        # the trainer leaves out words that lie close to others; they stand before what it chose
+        model = Model(settings, base, b"".join(x for x in dict.fromkeys(marks) if x not in learned)[: settings.toxic_bytes] + learned)
+        lengths = Counter(length for _, length in map(model.gains().__getitem__, (LEAD + x + TAIL for x in dict.fromkeys(marks))))
+        model = replace(model, whole=lengths.most_common(1)[0][0])
+    else:
+        model = Model(settings, base)
     x = model.features(clean + bad, model.gains())
     y = np.r_[np.zeros(len(clean)), np.ones(len(bad))]
-    return Model(settings, model.ordinary, model.toxic, logistic(x, y, settings.toxic_weight))
+    return replace(model, calibration=logistic(x, y, settings.toxic_weight, settings.ridge))
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
