@@ -277,6 +277,8 @@ def covers(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     cut = cut_contexts(cut, settings)
     split = cut.join(crowds, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     solved = sorted_contexts(split.select("token", "context", "shape", "again", "data", "part", "parts"), settings).groupBy("token", "context").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # written too: a context may stand in a third of all documents
+    solved = checkpointed(solved)
     copies = hits.where("several").join(solved, ["token", "context"]).select("doc_id", "text_hash", (F.col("start") + F.col("low")).alias("__a"), (F.col("start") + F.col("high")).alias("__b"))
     plain = hits.where("not several").select("doc_id", "text_hash", F.col("start").alias("__a"), (F.col("start") + windows + F.lit(settings.length - 1)).alias("__b"))
     span = F.shiftleft(F.col("__a").cast("long"), 32).bitwiseOR(F.col("__b").cast("long"))
