@@ -224,7 +224,9 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     crowded = banded.groupBy("band").agg(F.min("cls").alias("hub"), F.count("*").alias("__n")).where("__n > 1").select("band", "hub")
     hubs = banded.join(crowded, "band").select("band", "cls", "hub")
     member = hubs.groupBy("cls").agg(F.min("hub").alias("hub"))
-    sizes = member.groupBy("hub").agg(F.ceil(F.count("*") / settings.block).alias("__parts"))
+    # both written, so that the join's sides are plain shuffles, which adaptive execution can split
+    member = checkpointed(member)
+    sizes = checkpointed(member.groupBy("hub").agg(F.ceil(F.count("*") / settings.block).alias("__parts")))
     blocks = checkpointed(member.join(sizes, "hub").select("cls", F.xxhash64("hub", F.pmod(F.xxhash64("cls"), "__parts")).alias("block")))
     meet = hubs.select("band", "cls").join(blocks, "cls").select("band", "block").distinct()
     many = meet.groupBy("band").agg(F.count("*").alias("__n")).where("__n > 1").select("band")
