@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideflow.llm.common import checkpointed, extended, text_of
+from tideflow.llm.common import checkpointed, extended, plainly_joined, text_of
 
 WORD = re.compile(r"\w+")
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -204,9 +204,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("__m")).select(F.col("u").alias("__u"), F.least("u", "__m").alias("__m"))
-        large = both.join(least, F.col("u") == F.col("__u")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("__m").alias("v")).distinct()
+        large = plainly_joined(both, least, "u", "__u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("__m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("__m")).select(F.col("u").alias("__u"), "__m")
-        joined = large.join(down, F.col("u") == F.col("__u"))
+        joined = plainly_joined(large, down, "u", "__u")
         small = joined.select(F.col("v").alias("u"), F.col("__m").alias("v")).unionByName(down.select(F.col("__u").alias("u"), F.col("__m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
         now = checkpointed(small)
         state = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
@@ -221,17 +221,17 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     signed = checkpointed(signatures(docs, settings))
     classes = signed.groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("__one"), F.any_value("bands").alias("bands"))
     banded = classes.where(F.col("bands").isNotNull()).select("cls", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.min("cls").alias("hub"), F.count("*").alias("__n")).where("__n > 1").select("band", "hub")
-    hubs = banded.join(crowded, "band").select("band", "cls", "hub")
+    crowded = banded.groupBy("band").agg(F.min("cls").alias("hub"), F.count("*").alias("__n")).where("__n > 1").select(F.col("band").alias("__band"), "hub")
+    hubs = plainly_joined(banded, crowded, "band", "__band").select("band", "cls", "hub")
     member = hubs.groupBy("cls").agg(F.min("hub").alias("hub"))
     # both written, so that the join's sides are plain shuffles, which adaptive execution can split
     member = checkpointed(member)
     sizes = checkpointed(member.groupBy("hub").agg(F.ceil(F.count("*") / settings.block).alias("__parts")))
     blocks = checkpointed(member.join(sizes, "hub").select("cls", F.xxhash64("hub", F.pmod(F.xxhash64("cls"), "__parts")).alias("block")))
     meet = hubs.select("band", "cls").join(blocks, "cls").select("band", "block").distinct()
-    many = meet.groupBy("band").agg(F.count("*").alias("__n")).where("__n > 1").select("band")
-    meet = meet.join(many, "band")
-    cross = meet.select("band", F.col("block").alias("p")).join(meet.select("band", F.col("block").alias("q")), "band").where("p < q").select("p", "q").distinct()
+    many = meet.groupBy("band").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("band").alias("__band"))
+    meet = plainly_joined(meet, many, "band", "__band")
+    cross = plainly_joined(meet.select("band", F.col("block").alias("p")), meet.select(F.col("band").alias("__band"), F.col("block").alias("q")), "band", "__band").where("p < q").select("p", "q").distinct()
     cross = checkpointed(cross)
     own = blocks.select("block").distinct()
     tasks = cross.select("p", "q", F.col("p").alias("block")).unionByName(cross.select("p", "q", F.col("q").alias("block"))).unionByName(own.select(F.col("block").alias("p"), F.col("block").alias("q"), "block"))
@@ -242,8 +242,8 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     root = components(found.select("cls", "root"))
     named = classes.select("cls", "copies", "first_id").join(links, "cls", "left").join(root, "cls", "left").select("cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "first_id", F.coalesce("root", "cls").alias("root"))
-    first = named.groupBy("root").agg(F.min("first_id").alias("group_id"))
-    named = named.join(first, "root").select("cls", "links", "group_id", "root")
+    first = named.groupBy("root").agg(F.min("first_id").alias("group_id")).withColumnRenamed("root", "__root")
+    named = plainly_joined(named, first, "root", "__root").select("cls", "links", "group_id", "root")
     return signed.select("doc_id", "text_hash", "cls").join(named, "cls").select("doc_id", "text_hash", "root", "group_id", "links")
 
 
