@@ -39,14 +39,14 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def plainly_joined(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Inner join on a key, with plain shuffles directly below it on both sides.
+def plainly_joined(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
+    """Join on a key, with plain shuffles directly below it on both sides.
 
     A side that is aggregated or joined by the key keeps that layout, and then adaptive execution
     cannot split a hot key. A hash of the key as a second join key asks for a layout that no side has.
     """
     a, b = F.col(left_key), F.col(right_key)
-    return left.join(right, (F.xxhash64(a) == F.xxhash64(b)) & (a == b))
+    return left.join(right, (F.xxhash64(a) == F.xxhash64(b)) & (a == b), how)
 
 
 def fold(column: str = "doc_id") -> Column:

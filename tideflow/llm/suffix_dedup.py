@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideflow.llm.common import checkpointed, extended, shuffle_width, sliced, text_of
+from tideflow.llm.common import checkpointed, extended, plainly_joined, shuffle_width, sliced, text_of
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STEP = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
@@ -121,11 +121,14 @@ def anchors_of(parts: list[bytes], settings: Settings) -> tuple[np.ndarray, ...]
     return part, start - starts[part], count, anchor[begin] - start, h[anchor[begin]].view(np.int64)
 
 
-ANCHORS = "doc_id long, text_hash long, token long, context long, start int, shape int"
+ANCHORS = "doc_id long, text_hash long, token long, context long, starts array<int>, shape int"
 
 
 def anchors(rows: DataFrame, settings: Settings) -> DataFrame:
-    """A row for each anchor of rows (doc_id, text_hash, __text); shape is offset * 256 + windows."""
+    """A row for each distinct context of each of rows (doc_id, text_hash, __text), with all its starts.
+
+    A text that repeats itself gives each context once. shape is offset * 256 + windows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +138,14 @@ def anchors(rows: DataFrame, settings: Settings) -> DataFrame:
                     part, start, count, away, token = anchors_of(parts, settings)
                     ends = start + count + settings.length - 1
                     context = np.array([xxhash.xxh3_64_intdigest(parts[p][a:b]) for p, a, b in zip(part.tolist(), start.tolist(), ends.tolist())], np.uint64).view(np.int64)
-                    take = pa.array(np.array(row)[part])
+                    own, start = np.array(row)[part], start + np.array(offset)[part]
+                    order = np.lexsort((start, context, token, own))
+                    own, start, context, token, shape = (x[order] for x in (own, start, context, token, away * 256 + count))
+                    first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (token[1:] != token[:-1]) | (context[1:] != context[:-1])]))
+                    starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(start)), pa.int32()), pa.array(start.astype(np.int32)))
+                    take = pa.array(own[first])
                     yield pa.RecordBatch.from_arrays(
-                        [slice_.column("doc_id").take(take), slice_.column("text_hash").take(take), pa.array(token), pa.array(context), pa.array((start + np.array(offset)[part]).astype(np.int32)), pa.array((away * 256 + count).astype(np.int32))],
+                        [slice_.column("doc_id").take(take), slice_.column("text_hash").take(take), pa.array(token[first]), pa.array(context[first]), starts, pa.array(shape[first].astype(np.int32))],
                         [x.split()[0] for x in ANCHORS.split(", ")],
                     )
 
@@ -266,23 +274,24 @@ def covers(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = keyed(docs)
     found = anchors(rows, settings)
     # written first, so that the join's sides are plain shuffles, which adaptive execution can split
-    counts = checkpointed(found.groupBy("token").agg(F.count("*").alias("__n"), F.min("context").alias("__low"), F.max("context").alias("__high")).where("__n > 1").select("token", (F.col("__low") != F.col("__high")).alias("several")))
+    counts = checkpointed(found.groupBy("token").agg(F.sum(F.size("starts")).alias("__n"), F.min("context").alias("__low"), F.max("context").alias("__high")).where("__n > 1").select("token", (F.col("__low") != F.col("__high")).alias("several")))
     hits = checkpointed(found.join(counts, "token"))
     windows = F.pmod(F.col("shape"), F.lit(256))
-    one = hits.where("several").groupBy("token", "context").agg(F.min(F.struct("doc_id", "text_hash", "start", "shape")).alias("__one"), (F.count("*") > 1).alias("again"))
-    crowds = one.groupBy("token").agg(F.count("*").alias("__n")).where(F.col("__n") > settings.crowd).select("token", F.least(F.lit(settings.span), F.ceil(F.col("__n") / settings.crowd)).cast("int").alias("parts"))
+    one = hits.where("several").groupBy("token", "context").agg(F.min(F.struct("doc_id", "text_hash", F.get("starts", 0).alias("start"), "shape")).alias("__one"), (F.sum(F.size("starts")) > 1).alias("again"))
+    one = checkpointed(one)
+    crowds = one.groupBy("token").agg(F.count("*").alias("__n")).where(F.col("__n") > settings.crowd).select(F.col("token").alias("__token"), F.least(F.lit(settings.span), F.ceil(F.col("__n") / settings.crowd)).cast("int").alias("parts"))
     lists = one.groupBy(F.col("__one.doc_id").alias("__id"), F.col("__one.text_hash").alias("__hash")).agg(F.collect_list(F.struct("token", "context", F.col("__one.start").alias("start"), F.col("__one.shape").alias("shape"), "again")).alias("__list"))
     left = packed(rows)
     cut = left.join(lists, same_document(left, lists)).select("__z", "__list")
     cut = cut_contexts(cut, settings)
-    split = cut.join(crowds, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = plainly_joined(cut, crowds, "token", "__token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     solved = sorted_contexts(split.select("token", "context", "shape", "again", "data", "part", "parts"), settings).groupBy("token", "context").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     # written too: a context may stand in a third of all documents
     solved = checkpointed(solved)
-    copies = hits.where("several").join(solved, ["token", "context"]).select("doc_id", "text_hash", (F.col("start") + F.col("low")).alias("__a"), (F.col("start") + F.col("high")).alias("__b"))
-    plain = hits.where("not several").select("doc_id", "text_hash", F.col("start").alias("__a"), (F.col("start") + windows + F.lit(settings.length - 1)).alias("__b"))
-    span = F.shiftleft(F.col("__a").cast("long"), 32).bitwiseOR(F.col("__b").cast("long"))
-    return copies.unionByName(plain).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(span).alias("spans"))
+    ends = lambda low, high: F.transform("starts", lambda at: F.shiftleft((at + low).cast("long"), 32).bitwiseOR((at + high).cast("long")))
+    copies = hits.where("several").join(solved, ["token", "context"]).select("doc_id", "text_hash", ends(F.col("low"), F.col("high")).alias("spans"))
+    plain = hits.where("not several").select("doc_id", "text_hash", ends(F.lit(0), windows + F.lit(settings.length - 1)).alias("spans"))
+    return copies.unionByName(plain).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def cut_contexts(rows: DataFrame, settings: Settings) -> DataFrame:
