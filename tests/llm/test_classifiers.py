@@ -22,7 +22,7 @@ def tables(spark):
     return tuple(spark.read.parquet(f"{DATA}/{t}.parquet").cache() for t in ("documents", "labels"))
 
 
-@pytest.mark.parametrize("target,least", [("toxic", 0.75), ("quality", 0.95)])
+@pytest.mark.parametrize("target,least", [("toxic", 0.9), ("quality", 0.95)])
 def test_held_out(spark, tables, target, least):
     docs, labels = tables
     op = OPERATORS[target]
@@ -31,6 +31,20 @@ def test_held_out(spark, tables, target, least):
     assert out.score.between(0, 1).all() and ((out.score >= (0.5 if target == "toxic" else 0.3)) == (out.predicted == 1)).all()
 
 
+def test_short_toxic_words_are_seen_alone():
+    """Words of four and five letters save bytes as windows, and one or two of them tell in texts of any length."""
+    rng = np.random.default_rng(3)
+    plain = ["".join(rng.choice(list("aeinorstlm"), 6)) for _ in range(300)]
+    text = lambda n, bad=(): " ".join(rng.permutation([*rng.choice(plain, n), *bad]))
+    marks = ["gulk", "drogg", "vex"]
+    rows = [(i, text(rng.integers(3, 80), rng.choice(marks, 3) if i % 2 else ()), i % 2) for i in range(800)]
+    model = toxicity.fit(pd.DataFrame(rows, columns=["id", "text", "label"]), toxicity.Settings())
+    gains = model.gains()
+    assert all(gains[toxicity.LEAD + f" {w} ".encode() + toxicity.TAIL][0] >= 2 for w in ("gulk", "drogg"))
+    toxic = [text(n, ("gulk", "drogg")) for n in (3, 10, 60)]
+    assert (model.score(toxic, gains) >= 0.5).all() and (model.score([text(n) for n in (3, 10, 60, 600)], gains) < 0.5).all()
+
+
 @pytest.mark.parametrize("target", list(OPERATORS))
 def test_only_the_text_and_training_labels_count(spark, tables, target):
     docs, labels = tables

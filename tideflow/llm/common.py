@@ -77,8 +77,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, positive: float = 1.0, ridge: float = 0.1, steps: int = 40):
-    """Ridge logistic regression by Newton's method; returns (mean, scale, weights with bias)."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+    """Ridge logistic regression by Newton's method; returns (mean, scale, weights with bias).
+
+    A column without spread counts for nothing, whatever its later values.
+    """
+    mean, spread = x.mean(0), x.std(0)
+    scale = np.where(spread > 1e-6, spread, np.inf)
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     weight = np.where(y == 1, positive, 1.0)
     penalty = np.full(z.shape[1], ridge)
