@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideflow.llm import quality, toxicity
-from tideflow.llm.common import fold
+from tideflow.llm.common import fold, training_rows
 
 DATA = "/root/testdata/sf0.01"
 OPERATORS = {"toxic": toxicity, "quality": quality}
@@ -100,3 +100,29 @@ def test_machine_equals_all_pairs():
         pairs = sum(value[i] * value[j] * model.factors[index[i]] @ model.factors[index[j]] for i in range(a, b) for j in range(i + 1, b))
         want.append(0.3 + (model.linear[index[a:b]] * value[a:b]).sum() + pairs)
     assert np.allclose(model.margin(index, value, start), want)
+
+
+def test_the_prior_does_not_depend_on_the_cap(spark):
+    """A capped class counts as all its training rows: 30 to 270 stays so when 20 rows of each class are taken."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    want = {r.toxic: r["count"] for r in labels.where(fold() != 0).groupBy("toxic").count().collect()}
+    for most in (20, 1000):
+        rows = training_rows(docs, labels, "toxic", most).toPandas()
+        got = rows.groupby("label").stands_for.sum()
+        assert {k: round(v, 6) for k, v in got.items()} == want and rows.groupby("label").size().max() <= most
+
+
+@pytest.mark.parametrize("target", list(OPERATORS))
+def test_scores_are_calibrated_to_all_training_rows(target):
+    """Of texts that tell nothing, a tenth is positive: a sample of as many rows of either class must score them so."""
+    op = OPERATORS[target]
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(rng.choice([f"w{k}" for k in range(40)], 12))
+    rows = pd.DataFrame([(i, text(), i % 2, (1.0, 9.0)[i % 2 == 0]) for i in range(400)], columns=["id", "text", "label", "stands_for"])
+    model = op.fit(rows, op.Settings())
+    aids = model.gains() if target == "toxic" else quality.Buckets(model.settings.word_buckets)
+    sampled = op.fit(rows.drop(columns="stands_for"), op.Settings())
+    odds = lambda m: np.log(m.score(texts, aids) / (1 - m.score(texts, aids))).mean()
+    texts = [text() for _ in range(100)]
+    assert abs(odds(model) - odds(sampled) + np.log(9)) < 0.3

@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,12 +56,13 @@ def fold(column: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``most`` labelled documents of each class outside fold 0: (id, text, label).
+    """At most ``most`` labelled documents of each class outside fold 0: (id, text, label, stands_for).
 
     The rows are taken in the order of a hash of the id, so the sample does not depend on
     partitioning. A document that is labelled more than once has the rounded mean of its
-    labels; null labels and null ids are left out. The ids of the sample (2 x ``most`` longs)
-    are the only data that is broadcast.
+    labels; null labels and null ids are left out. ``stands_for`` is how many training rows of
+    its class a row of the sample stands for, so that the classes' prior does not depend on
+    ``most``. The ids of the sample (2 x ``most`` longs) are the only data that is broadcast.
     """
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col(target).isNotNull() & (fold(id_col) != 0))
@@ -68,8 +70,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, most: int, id
         .agg((F.avg(F.col(target).cast("double")) >= 0.5).cast("int").alias("label"))
     )
     parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("__id"), "__id").limit(most) for k in (0, 1)]
-    ids = parts[0].unionByName(parts[1])
-    return docs.select(F.col(id_col).alias("__own"), text_of("text").alias("text")).join(F.broadcast(ids), F.col("__own") == F.col("__id")).select(F.col("__id").alias("id"), "text", "label")
+    totals = known.groupBy("label").agg(F.count("*").alias("__n")).select("label", F.greatest(F.lit(1.0), F.col("__n") / F.lit(float(most))).alias("stands_for"))
+    ids = parts[0].unionByName(parts[1]).join(F.broadcast(totals), "label")
+    return docs.select(F.col(id_col).alias("__own"), text_of("text").alias("text")).join(F.broadcast(ids), F.col("__own") == F.col("__id")).select(F.col("__id").alias("id"), "text", "label", "stands_for")
+
+
+def class_rates(rows: pd.DataFrame) -> tuple[float, float]:
+    """stands_for of the classes 0 and 1; 1 for rows that are not a sample, and for a class without rows."""
+    if "stands_for" not in rows:
+        return 1.0, 1.0
+    return tuple(float(rows.stands_for[rows.label == k].max()) if (rows.label == k).any() else 1.0 for k in (0, 1))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideflow.llm.common import extended, fold, sigmoid, text_of, training_rows
+from tideflow.llm.common import class_rates, extended, fold, sigmoid, text_of, training_rows
 
 TOKEN = re.compile(r"\S+")
 PUNCTUATION = str.maketrans("", "", ".,;:!?\"'()")
@@ -153,7 +153,7 @@ def merged(index, value, start, extra, width: int):
 
 
 def fit(rows: pd.DataFrame, settings: Settings) -> Model:
-    """Minibatch Adagrad on the log loss; classes weigh the same, then the bias returns to the sample's prior."""
+    """Minibatch Adagrad on the log loss; classes weigh the same, then the bias returns to the prior of all training rows that the sample stands for."""
     rows = rows.sort_values("id")
     y = rows.label.to_numpy(float)
     if not len(y) or y.min() == y.max():
@@ -190,7 +190,8 @@ def fit(rows: pd.DataFrame, settings: Settings) -> Model:
             linear[touched] -= settings.rate * g_linear / np.sqrt(seen_linear[touched])
             factors[touched] -= settings.rate * g_factors / np.sqrt(seen_factors[touched])
             bias -= settings.rate * float(error.sum())
-    return Model(settings, edges, bias + float(np.log(y.mean() / (1 - y.mean()))), linear, factors)
+    low, high = class_rates(rows)
+    return Model(settings, edges, bias + float(np.log(high * y.mean() / (low * (1 - y.mean())))), linear, factors)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:

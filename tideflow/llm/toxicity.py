@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideflow.llm.common import extended, fold, logistic, logistic_score, text_of, training_rows
+from tideflow.llm.common import class_rates, extended, fold, logistic, logistic_score, text_of, training_rows
 
 WORD = re.compile(r"\w+")
 GAINS = (2, 3, 4, 5, 6, 7)
@@ -143,7 +143,7 @@ class Model:
 
 
 def fit(rows: pd.DataFrame, settings: Settings) -> Model:
-    """rows: text, label, id. Even rows of each class train the dictionaries, odd ones the calibration."""
+    """rows: text, label, id, and stands_for if they are a sample. Even rows of each class train the dictionaries, odd ones the calibration."""
     classes = [rows[rows.label == k].sort_values("id").text.tolist() for k in (0, 1)]
     if min(map(len, classes)) < 2:
         return Model(settings, constant=float(len(classes[1]) > 0 and len(classes[0]) == 0))
@@ -167,7 +167,8 @@ def fit(rows: pd.DataFrame, settings: Settings) -> Model:
         model = Model(settings, base)
     x = model.features(clean + bad, model.gains())
     y = np.r_[np.zeros(len(clean)), np.ones(len(bad))]
-    return replace(model, calibration=logistic(x, y, settings.toxic_weight, settings.ridge))
+    plain, marked = class_rates(rows)
+    return replace(model, calibration=logistic(x, y, settings.toxic_weight * marked / plain, settings.ridge))
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
