@@ -1,3 +1,5 @@
+import textwrap
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -53,3 +55,19 @@ def test_licence_sequences(spark):
     rows = [(1, full), (2, swapped), (3, bsd), (4, "x\nRELEASED   under the mit License!\ny"), (5, "no licence at all"), (6, None)]
     got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "MIT", 2: "", 3: "BSD-3-Clause,BSD-2-Clause", 4: "MIT", 5: "", 6: ""}
+
+
+def test_each_licence_sentence_and_rule_is_found_alone_and_wrapped(spark):
+    """In the midst of other lines: as one line, wrapped at 72 columns, and wrapped in a comment."""
+    wanted = [(name, name, [x]) for name, forms in licences.SENTENCES.items() for x in forms]
+    wanted += [(",".join(ids), licence, [licences.SENTENCES[i][0] for i in ids]) for licence, ids in licences.RULES]
+    rows, want = [], {}
+    for ids, licence, sentences in wanted:
+        for mark, lines in (("", sentences), ("", textwrap.wrap(" ".join(sentences), 72)), (" * ", textwrap.wrap(" ".join(sentences), 72))):
+            want[len(rows)] = (ids, licence)
+            rows.append((len(rows), "\n".join(mark + x for x in ["Some words before", *lines, "and after it"])))
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r.identifiers for k, r in got.items()} == {k: ids for k, (ids, _) in want.items()}
+    names = {licence for licence, _ in licences.RULES}
+    assert all(licence in got[k].licences.split(",") for k, (_, licence) in want.items() if licence in names)
+    assert names == {x for r in got.values() for x in r.licences.split(",") if x}

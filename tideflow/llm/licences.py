@@ -1,10 +1,12 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, runs of other characters than
-letters and digits to one space) and looked up among known licence sentences. The identifiers
+A text is cut into pieces after [.!?:] with a blank and at line ends, and each is normalised (lower
+case, runs of other characters than letters and digits to one space). A run of pieces that together
+are a known licence sentence is found, so a sentence may be wrapped over lines or hold a full stop
+itself. The identifiers
 found, in page order, form a sequence; a rule is an ordered list of identifiers that must occur
-consecutively in it. Rules are tried in order, and a rule whose identifiers lie within those of an
-earlier matching rule of the same licence family adds nothing.
+consecutively in it. Rules are tried in order and each that matches names its licence: the sentences
+of BSD-3-Clause begin with those of BSD-2-Clause and name both.
 
 Everything is a function of one row and of fixed tables: no shuffle, no Python.
 
@@ -68,16 +70,18 @@ def normalised(sentence: str) -> str:
 
 
 def known() -> dict[str, str]:
-    """normalised sentence -> identifier. A sentence that the cutter would split is known by each of its parts' first."""
+    """normalised sentence -> identifier."""
     return {normalised(x): name for name, forms in SENTENCES.items() for x in forms}
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, identifiers, licences): recognised sentences and licences of each row, comma-joined in order."""
     table = F.create_map(*[F.lit(x) for pair in sorted(known().items()) for x in pair])
-    hints = F.lower("__text").rlike("licen[sc]e|licensed|permission|redistribut|software|rights reserved|public domain|cc0")
-    sentences = F.split(F.regexp_replace("__text", r"([.!?:])[ \t]+", "$1\n"), "\n")
-    found = F.filter(F.transform(F.when(hints, sentences).otherwise(F.array().cast("array<string>")), lambda s: F.try_element_at(table, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))), lambda x: x.isNotNull())
+    pieces = F.concat(F.lit("\n"), F.regexp_replace("__text", r"([.!?:])[ \t]+", "$1\n"), F.lit("\n"))
+    pieces = F.regexp_replace(F.regexp_replace(F.lower(pieces), "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "\n")
+    # longest first: a sentence that goes on in the next piece is not taken for a shorter one
+    forms = "|".join(x.replace(" ", "[ \n]") for x in sorted(known(), key=len, reverse=True))
+    found = F.transform(F.regexp_extract_all(pieces, F.lit(f"(?<=\n)(?:{forms})(?=\n)"), F.lit(0)), lambda x: F.try_element_at(table, F.translate(x, "\n", " ")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("__text")).select("doc_id", found.alias("__found"))
     sequence = F.concat(F.lit(","), F.array_join("__found", ","), F.lit(","))
     matches = [F.when(F.contains(F.col("__seq"), F.lit(f",{','.join(ids)},")), F.lit(name)) for name, ids in RULES]
