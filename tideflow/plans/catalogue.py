@@ -157,12 +157,24 @@ def linq_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("""WITH x AS (SELECT event_id % 10 AS t0, unnest(range(0, 10))::BIGINT AS v FROM events WHERE event_id < 10), s AS (SELECT t0 * t0 * 2 AS v, t0 FROM x WHERE v = 0)
     SELECT CASE WHEN v < 50 THEN 'left' ELSE 'right' END AS side, t0, v FROM s WHERE v > 10""")
 def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain over the ten messages of the reference's example."""
+    return _square_chain(table(spark, sf_dir, "events").where("event_id < 10"))
+
+
+def _square_chain(rows: DataFrame) -> DataFrame:
     """counter -> square -> double -> keep over 10 -> split below 50."""
-    source = Stream(table(spark, sf_dir, "events").where("event_id < 10").select(timestamps.time("event_id").alias("ts"), F.col("event_id").alias("data")))
+    source = Stream(rows.select(timestamps.time("event_id").alias("ts"), F.col("event_id").alias("data")))
     left, right = source.map(lambda x: x * x).map(lambda x: x * 2).filter(lambda x: x > 10).split(lambda x: x < 50)
     return left.df.withColumn("side", F.lit("left")).unionByName(right.df.withColumn("side", F.lit("right"))).select("side", timestamps.coordinate("ts", 0).alias("t0"), F.col("data").alias("v"))
 
 
+@registered("""WITH s AS (SELECT event_id AS t0, event_id * event_id * 2 AS v FROM events)
+    SELECT CASE WHEN v < 50 THEN 'left' ELSE 'right' END AS side, t0, v FROM s WHERE v > 10""")
+def full_pipeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of full_pipeline over all events."""
+    return _square_chain(table(spark, sf_dir, "events"))
+
+
 @registered("""WITH e AS (SELECT user_id AS u, floor(epoch(ts) / 86400)::BIGINT AS d, event_id, floor(event_id / 1000)::BIGINT AS b FROM events)
     SELECT b AS block, event_id, row_number() OVER (PARTITION BY b ORDER BY d, u, event_id)::BIGINT AS place FROM e""")
 def ts_order(spark: SparkSession, sf_dir: str) -> DataFrame:
