@@ -95,6 +95,7 @@ def _op2_sql() -> str:
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": ngram_join.oracle(),
     "op2_chat_formatting": _op2_sql(),
+    "op3_suffix_array_dedup": suffix_dedup.oracle(),
     "op4_license_scans": licences.oracle(),
     "op5_benchmark_decontamination": decontamination.oracle(),
     "op6_mixing": mixing.oracle(),

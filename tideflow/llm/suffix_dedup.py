@@ -3,23 +3,28 @@
 Every byte is removed that lies in a string of ``length`` bytes which starts anywhere else too.
 
 Sorting the suffix of every byte would shuffle each byte hundreds of times, so suffixes are sampled
-by content first: in each window of ``length`` bytes the token (hash of ``token`` bytes) that is
-smallest, leftmost on ties, is the window's anchor. Equal windows have equal anchors at equal
-offsets, so only windows whose anchor token occurs twice or more can be repeated; the rest are
-dropped by counting tokens. The windows of one anchor lie side by side and form its context.
-Contexts that are equal are one; where all contexts of a token are equal, all their windows are
-repeated. What remains, tokens with different contexts, is sorted: contexts are range-partitioned
-by their leading token with sampled splitters, and in a partition the suffixes that start at the
-contexts' windows are sorted by multikey quicksort, eight bytes at a time, until a run of suffixes
-is equal over ``length`` bytes or has one member. Ranges never divide a token; a token with very
-many contexts is dealt out by the windows' offset from the anchor, which equal windows share, so
-that nothing has to be compared across tasks.
+by content: in each window of ``length`` bytes the token (``token`` bytes) with the smallest hash,
+leftmost on ties, is the window's anchor. Equal windows have equal anchors at equal offsets, so only
+windows whose anchor token occurs twice or more can be repeated; the rest are dropped by counting
+tokens. The windows of one anchor lie side by side and form its context: the suffix that starts at
+the anchor, and the bytes before it. Contexts that are equal are one with its copies counted.
+
+What remains, tokens with different contexts, is sorted. The suffixes are range-partitioned by their
+bytes, leading token first and then, so that crowded tokens are divided too, by what follows it and
+by the reversed bytes before it; the splitters are sampled. In a range, buckets of bounded size are
+sorted by multikey quicksort, eight bytes at a time, once by the suffixes and once by the reversed
+bytes before them. In both orders the contexts that share a given number of bytes lie side by side,
+as the common prefixes of neighbours tell. A window with o bytes before its anchor is repeated if
+another context is in its class of ``length`` - o bytes in the first order and of o bytes in the
+second. Classes that reach the edge of a bucket whose token may go on in the next one are compared
+across the boundary: one row for each window class of such a bucket, counted over all buckets.
 
 Defined results: null text is the empty text; texts shorter than ``length`` bytes lose nothing;
 repeated rows are copies of each other and lose everything if long enough; matches may overlap,
 lie in one document and begin inside a character; matches never cross documents; an empty table
-gives an empty result. Extra columns are ignored. Removal in the pipeline decodes what is left and
-drops the bytes of divided characters.
+gives an empty result. Extra columns are ignored by the report; the removal passes them through,
+whatever their names. Removal in the pipeline decodes what is left and drops the bytes of divided
+characters.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideflow.llm.common import checkpointed, extended, plainly_joined, shuffle_width, sliced, text_of
+from tideflow.llm.common import extended, plainly_joined, shuffle_width, sliced, text_of, written
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STEP = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
@@ -45,13 +50,16 @@ PIECE = 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """length: bytes of a repeated string, a multiple of 8. token: bytes of a token, a power of two up to 64.
-    crowd: contexts of one token beyond which its windows are dealt out by offset."""
+    """length: bytes of a repeated string. token: bytes of a token, a power of two up to 64.
+    bucket: contexts that are sorted together; a token with more goes on in the next bucket."""
 
     length: int = 200
     token: int = 64
-    crowd: int = 20_000
-    chunk_windows: int = 100_000
+    bucket: int = 16_000
+
+    def __post_init__(self) -> None:
+        if self.token not in (1, 2, 4, 8, 16, 32, 64) or self.length < self.token:
+            raise ValueError("token must be a power of two up to 64, and length no less than token")
 
     @property
     def span(self) -> int:
@@ -121,13 +129,13 @@ def anchors_of(parts: list[bytes], settings: Settings) -> tuple[np.ndarray, ...]
     return part, start - starts[part], count, anchor[begin] - start, h[anchor[begin]].view(np.int64)
 
 
-ANCHORS = "doc_id long, text_hash long, token long, context long, starts array<int>, shape int"
+ANCHORS = "own long, text_hash long, token long, context long, starts array<int>, away int, windows int"
 
 
 def anchors(rows: DataFrame, settings: Settings) -> DataFrame:
-    """A row for each distinct context of each of rows (doc_id, text_hash, __text), with all its starts.
+    """A row for each distinct context of each of rows (own, text_hash, __text), with all its starts.
 
-    A text that repeats itself gives each context once. shape is offset * 256 + windows.
+    A text that repeats itself gives each context once. away is the anchor's offset from the start.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,115 +148,159 @@ def anchors(rows: DataFrame, settings: Settings) -> DataFrame:
                     context = np.array([xxhash.xxh3_64_intdigest(parts[p][a:b]) for p, a, b in zip(part.tolist(), start.tolist(), ends.tolist())], np.uint64).view(np.int64)
                     own, start = np.array(row)[part], start + np.array(offset)[part]
                     order = np.lexsort((start, context, token, own))
-                    own, start, context, token, shape = (x[order] for x in (own, start, context, token, away * 256 + count))
+                    own, start, context, token, away, count = (x[order] for x in (own, start, context, token, away, count))
                     first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (token[1:] != token[:-1]) | (context[1:] != context[:-1])]))
                     starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(start)), pa.int32()), pa.array(start.astype(np.int32)))
                     take = pa.array(own[first])
                     yield pa.RecordBatch.from_arrays(
-                        [slice_.column("doc_id").take(take), slice_.column("text_hash").take(take), pa.array(token[first]), pa.array(context[first]), starts, pa.array(shape[first].astype(np.int32))],
+                        [slice_.column("own").take(take), slice_.column("text_hash").take(take), pa.array(token[first]), pa.array(context[first]), starts, pa.array(away[first].astype(np.int32)), pa.array(count[first].astype(np.int32))],
                         [x.split()[0] for x in ANCHORS.split(", ")],
                     )
 
     return rows.mapInArrow(run, ANCHORS)
 
 
-def multikey_sorted_runs(words: np.ndarray, place: np.ndarray, run: np.ndarray, depth: int) -> np.ndarray:
-    """Which suffixes are equal to another of their run over ``depth`` words.
+def padded_words(strings: list[bytes], size: int) -> np.ndarray:
+    """(string, word) of big-endian eight-byte words; strings are filled up with zero bytes."""
+    width = max(8, -(-size // 8) * 8)
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in strings), ">u8").astype(np.uint64).reshape(len(strings), width // 8)
+
+
+def multikey_quicksort(words: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """The order of the rows of words by run, then by words: ternary partitions about a pivot word.
 
-    words[p] holds the eight bytes at p, so place + 8 k is a suffix's k-th word. Suffixes are sorted
-    by one word at a time inside the runs that are still tied; single suffixes leave, and so do
-    runs whose members are all equal to the first.
+    All open segments are divided in one step. The part below and the part above a segment's pivot go
+    on with the same word, the part that equals it with the next one; single rows are done.
     """
-    repeated = np.zeros(len(place), bool)
-    live = np.arange(len(place))
-    for k in range(depth):
-        if not len(live):
-            break
-        word = words[place[live] + 8 * k]
-        order = np.lexsort((word, run[live]))
-        live, word = live[order], word[order]
-        own = run[live]
-        new = np.concatenate([[True], (own[1:] != own[:-1]) | (word[1:] != word[:-1])])
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        tied = size[group] > 1
-        live, group = live[tied], group[tied]
-        if not len(live):
-            break
-        first = np.concatenate([[True], group[1:] != group[:-1]])
-        group = np.cumsum(first) - 1
-        head = live[first][group]
-        same = np.ones(len(live), bool)
-        for j in range(k + 1, depth):
-            same &= words[place[live] + 8 * j] == words[place[head] + 8 * j]
-        different = np.bincount(group, ~same, minlength=int(group[-1]) + 1) > 0
-        done = ~different[group]
-        repeated[live[done]] = True
-        live, group = live[~done], group[~done]
-        run[live] = group
-    return repeated
-
-
-def resolve(contexts: list[bytes], token: np.ndarray, away: np.ndarray, part: np.ndarray, parts: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """First and last repeated window of each context (first > last if none).
-
-    Contexts of one token are compared; a context with parts > 1 looks only at the windows whose
-    distance from the anchor is ``part`` modulo ``parts``.
+    n, depth_limit = words.shape
+    order = np.argsort(run, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], run[order][1:] != run[order][:-1], [True]]))
+    start, size = cut[:-1], np.diff(cut)
+    depth = np.zeros(len(start), np.int64)
+    while True:
+        live = (size > 1) & (depth < depth_limit)
+        start, size, depth = start[live], size[live], depth[live]
+        if not len(start):
+            return order
+        segment = np.repeat(np.arange(len(start)), size)
+        place = np.arange(len(segment)) - np.repeat(np.cumsum(size) - size, size) + start[segment]
+        word = words[order[place], depth[segment]]
+        three = np.sort(np.stack([words[order[start + size * k // 4], depth] for k in (1, 2, 3)]), axis=0)
+        pivot = three[1][segment]
+        side = 3 * segment + (word >= pivot) + (word > pivot)
+        order[place] = order[place[np.argsort(side, kind="stable")]]
+        parts = np.bincount(side, minlength=3 * len(start)).reshape(-1, 3)
+        start = (start[:, None] + np.cumsum(parts, axis=1) - parts).ravel()
+        depth = (depth[:, None] + [0, 1, 0]).ravel()
+        size = parts.ravel()
+
+
+def shared_with_last(words: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Bytes that each row shares with the one before it in the order; -1 for the first row."""
+    other = words[order[1:]] ^ words[order[:-1]]
+    first = np.argmax(other != 0, axis=1)
+    word = other[np.arange(len(other)), first]
+    equal = sum((word >> np.uint64(8 * k)) == 0 for k in range(8)) if len(other) else np.zeros(0, int)
+    return np.concatenate([[-1], np.where(word == 0, 8 * words.shape[1], 8 * first + equal)])
+
+
+def solve(contexts: list[bytes], away: np.ndarray, again: np.ndarray, settings: Settings, open_head: bool, open_tail: bool):
+    """(low, high, edge) of a bucket: first and last repeated window of each context (first > last if
+    none), and (context, window, alone) of one window of each class that reaches an open edge.
+
+    alone: whether the class has no second window here, so that the other buckets decide. Windows
+    between a context's first and last one are covered by these two and are never in question.
     """
-    whole = np.frombuffer(b"".join(contexts) + bytes(8), np.uint8).astype(np.uint64)
-    words = np.zeros(len(whole) - 7, np.uint64)
-    for j in range(8):
-        words |= whole[j : j + len(words)] << np.uint64(56 - 8 * j)
-    lengths = np.array([len(c) for c in contexts])
-    windows = lengths - settings.length + 1
-    owner = np.repeat(np.arange(len(contexts)), windows)
-    index = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    use = (away[owner] - index) % parts[owner] == part[owner]
-    owner, index = owner[use], index[use]
-    place = (np.cumsum(lengths) - lengths)[owner] + index
-    run = np.unique(token, return_inverse=True)[1][owner]
-    hit = multikey_sorted_runs(words, place, run, settings.length // 8)
-    low, high = np.full(len(contexts), 1 << 30), np.full(len(contexts), -1)
-    np.minimum.at(low, owner[hit], index[hit])
-    np.maximum.at(high, owner[hit], index[hit])
-    return low, high
+    n, length = len(contexts), settings.length
+    right = padded_words([c[a:] for c, a in zip(contexts, away.tolist())], length)
+    left = padded_words([c[:a][::-1] for c, a in zip(contexts, away.tolist())], settings.span - 1)
+    windows = np.array([len(c) for c in contexts]) - length + 1
+    by_right = multikey_quicksort(right, np.zeros(n, np.int64))
+    right_common = shared_with_last(right, by_right)
+    token = np.empty(n, np.int64)
+    token[by_right] = np.cumsum(right_common < settings.token)
+    by_left = multikey_quicksort(left, token)
+    left_common = shared_with_last(left, by_left)
+    left_common[np.concatenate([[True], token[by_left][1:] != token[by_left][:-1]])] = -1
+    low, high = np.where(again, 0, 1 << 30), np.where(again, windows - 1, -1)
+    right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
+    touching: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for o in range(int(away.max()) + 1):
+        index = away - o
+        use = np.flatnonzero((index >= 0) & (index < windows))
+        if not len(use):
+            continue
+        right_class[by_right] = np.cumsum(right_common < length - o)
+        left_class[by_left] = np.cumsum(left_common < o)
+        key = right_class[use] * (n + 1) + left_class[use]
+        order = np.argsort(key, kind="stable")
+        use, key = use[order], key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        group = np.cumsum(new) - 1
+        several = np.bincount(group)[group] > 1
+        hit = use[several]
+        low[hit], high[hit] = np.minimum(low[hit], index[hit]), np.maximum(high[hit], index[hit])
+        if open_head or open_tail:
+            edge = np.zeros(len(use), bool)
+            if open_head:
+                edge |= right_class[use] == right_class[by_right[0]]
+            if open_tail:
+                edge |= right_class[use] == right_class[by_right[-1]]
+            edge &= new
+            touching.append((use[edge], index[use[edge]], ~several[edge]))
+    owner, window, alone = (np.concatenate(x) for x in zip(*touching)) if touching else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+    alone = alone & ((window < low[owner]) | (window > high[owner]))
+    return low, high, (owner, window, alone)
+
+
+SOLVED = "token long, context long, low int, high int, digest binary"
 
 
 def sorted_contexts(contexts: DataFrame, settings: Settings) -> DataFrame:
-    """(token, context, low, high) from rows (token, context, shape, again, data, part, parts).
+    """SOLVED rows from rows (token, context, away, again, data, before).
 
-    Contexts that occur again elsewhere (again) are repeated whole; they are sorted with the others,
-    whose windows may be equal to theirs.
+    A row without digest tells the first and the last byte that repeated windows of a context cover;
+    a row with a digest is a window of a class at an open edge (token is null if the answer is not needed).
     """
-    dealt = contexts.repartitionByRange(shuffle_width(contexts), "token", "part").sortWithinPartitions("token", "part")
+    right = F.substring("data", F.col("away") + 1, F.lit(settings.length))
+    dealt = contexts.repartitionByRange(shuffle_width(contexts), right, "before").sortWithinPartitions(right, "before").drop("before")
+    names = [x.split()[0] for x in SOLVED.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        windows = 0
 
-        def solved() -> pa.RecordBatch:
-            token, context, shape, again, data, part, parts = zip(*rows)
-            low, high = resolve(list(data), np.array(token), np.array(shape) // 256, np.array(part), np.array(parts), settings)
-            whole = np.array(again)
-            low[whole], high[whole] = 0, np.array([len(d) for d in data])[whole] - settings.length
+        def solved(open_head: bool, open_tail: bool) -> pa.RecordBatch:
+            token, context, away, again, data = (list(x) for x in zip(*rows))
+            low, high, (owner, window, alone) = solve(data, np.array(away), np.array(again), settings, open_head, open_tail)
             keep = np.flatnonzero(high >= 0)
-            return pa.RecordBatch.from_arrays([pa.array(np.array(token)[keep]), pa.array(np.array(context)[keep]), pa.array(low[keep].astype(np.int32)), pa.array((high[keep] + settings.length).astype(np.int32))], ["token", "context", "low", "high"])
+            out = [[token[i] for i in keep], [context[i] for i in keep], low[keep].tolist(), (high[keep] + settings.length).tolist(), [None] * len(keep)]
+            for i, w, asks in zip(owner.tolist(), window.tolist(), alone.tolist()):
+                digest = xxhash.xxh3_128_digest(data[i][w : w + settings.length]) + (away[i] - w).to_bytes(4, "big")
+                for column, value in zip(out, (token[i] if asks else None, context[i] if asks else None, w, w + settings.length, digest)):
+                    column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds)], names)
 
+        head = True  # a range may begin, and end, inside a token
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("token", "context", "shape", "again", "data", "part", "parts"))):
-                if windows >= settings.chunk_windows and (row[0], row[5]) != (rows[-1][0], rows[-1][5]):
-                    yield solved()
-                    rows, windows = [], 0
+            for row in zip(*(batch.column(n).to_pylist() for n in ("token", "context", "away", "again", "data"))):
+                if len(rows) >= max(1, settings.bucket // 2) and row[0] != rows[-1][0]:
+                    yield solved(head, False)
+                    rows, head = [], False
+                elif len(rows) >= settings.bucket:
+                    yield solved(head, True)
+                    rows, head = [], True
                 rows.append(row)
-                windows += len(row[4]) - settings.length + 1
         if rows:
-            yield solved()
+            yield solved(head, True)
 
-    return dealt.mapInArrow(run, "token long, context long, low int, high int")
+    return dealt.mapInArrow(run, SOLVED)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("__text")).select("doc_id", F.xxhash64("__text").alias("text_hash"), "__text")
+    """(doc_id, own, text_hash, __text): own and text_hash tell a row's id and text; a null id's hash differs from that of id 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("__text"))
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("own"), F.xxhash64("__text", F.col("doc_id").isNull()).alias("text_hash"), "__text")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -265,56 +317,49 @@ def packed(rows: DataFrame) -> DataFrame:
     return extended(rows, "__z binary", make)
 
 
-def same_document(left: DataFrame, right: DataFrame):
-    return (left["text_hash"] == right["__hash"]) & left["doc_id"].eqNullSafe(right["__id"])
-
-
 def covers(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(__id, __hash, spans): for each document with repeats its removed ranges, start << 32 | end, unmerged."""
+    """(own, text_hash, spans): for each document with repeats its removed ranges, start << 32 | end, unmerged."""
     rows = keyed(docs)
-    found = anchors(rows, settings)
-    # written first, so that the join's sides are plain shuffles, which adaptive execution can split
-    counts = checkpointed(found.groupBy("token").agg(F.sum(F.size("starts")).alias("__n"), F.min("context").alias("__low"), F.max("context").alias("__high")).where("__n > 1").select("token", (F.col("__low") != F.col("__high")).alias("several")))
-    hits = checkpointed(found.join(counts, "token"))
-    windows = F.pmod(F.col("shape"), F.lit(256))
-    one = hits.where("several").groupBy("token", "context").agg(F.min(F.struct("doc_id", "text_hash", F.get("starts", 0).alias("start"), "shape")).alias("__one"), (F.sum(F.size("starts")) > 1).alias("again"))
-    one = checkpointed(one)
-    crowds = one.groupBy("token").agg(F.count("*").alias("__n")).where(F.col("__n") > settings.crowd).select(F.col("token").alias("__token"), F.least(F.lit(settings.span), F.ceil(F.col("__n") / settings.crowd)).cast("int").alias("parts"))
-    lists = one.groupBy(F.col("__one.doc_id").alias("__id"), F.col("__one.text_hash").alias("__hash")).agg(F.collect_list(F.struct("token", "context", F.col("__one.start").alias("start"), F.col("__one.shape").alias("shape"), "again")).alias("__list"))
-    left = packed(rows)
-    cut = left.join(lists, same_document(left, lists)).select("__z", "__list")
-    cut = cut_contexts(cut, settings)
-    split = plainly_joined(cut, crowds, "token", "__token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    solved = sorted_contexts(split.select("token", "context", "shape", "again", "data", "part", "parts"), settings).groupBy("token", "context").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = written(anchors(rows.select("own", "text_hash", "__text"), settings))
+    # written, so that the join's sides are plain shuffles, which adaptive execution can split
+    counts = written(found.groupBy("token").agg(F.sum(F.size("starts")).alias("__n"), F.min("context").alias("__low"), F.max("context").alias("__high")).where("__n > 1").select("token", (F.col("__low") != F.col("__high")).alias("several")))
+    hits = written(found.join(counts, "token"))
+    one = written(hits.where("several").groupBy("token", "context").agg(F.min(F.struct("own", "text_hash", F.get("starts", 0).alias("start"), "away", "windows")).alias("__one"), (F.sum(F.size("starts")) > 1).alias("again")))
+    lists = one.groupBy("__one.own", "__one.text_hash").agg(F.collect_list(F.struct("token", "context", F.col("__one.start").alias("start"), F.col("__one.away").alias("away"), F.col("__one.windows").alias("windows"), "again")).alias("__list"))
+    # a document that repeats id and text is cut once
+    left = packed(rows.select("own", "text_hash", "__text")).groupBy("own", "text_hash").agg(F.first("__z").alias("__z"))
+    cut = written(cut_contexts(left.join(lists, ["own", "text_hash"]).select("__z", "__list"), settings))
+    solved = written(sorted_contexts(cut, settings))
+    edges = solved.where(F.col("digest").isNotNull())
+    equal = edges.groupBy(F.col("digest").alias("__digest")).agg(F.count("*").alias("__n")).where("__n > 1").select("__digest")
+    across = plainly_joined(edges.where(F.col("token").isNotNull()), equal, "digest", "__digest").select("token", "context", "low", "high")
     # written too: a context may stand in a third of all documents
-    solved = checkpointed(solved)
+    ranges = written(solved.where(F.col("digest").isNull()).select("token", "context", "low", "high").unionByName(across).groupBy("token", "context").agg(F.min("low").alias("low"), F.max("high").alias("high")))
     ends = lambda low, high: F.transform("starts", lambda at: F.shiftleft((at + low).cast("long"), 32).bitwiseOR((at + high).cast("long")))
-    copies = hits.where("several").join(solved, ["token", "context"]).select("doc_id", "text_hash", ends(F.col("low"), F.col("high")).alias("spans"))
-    plain = hits.where("not several").select("doc_id", "text_hash", ends(F.lit(0), windows + F.lit(settings.length - 1)).alias("spans"))
-    return copies.unionByName(plain).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    copies = hits.where("several").join(ranges, ["token", "context"]).select("own", "text_hash", ends(F.col("low"), F.col("high")).alias("spans"))
+    plain = hits.where("not several").select("own", "text_hash", ends(F.lit(0), F.col("windows") + F.lit(settings.length - 1)).alias("spans"))
+    # a set: the copies of one id and text give the same spans
+    return copies.unionByName(plain).groupBy("own", "text_hash").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def cut_contexts(rows: DataFrame, settings: Settings) -> DataFrame:
-    """(token, context, shape, again, data) from packed documents with the list of their contexts.
-
-    A document that repeats id and text is cut again; its contexts are repeated strings anyway.
-    """
-    names = ("token", "context", "shape", "again", "data")
+    """(token, context, away, again, data, before) from packed documents with the list of their contexts; before is reversed."""
+    names = ("token", "context", "away", "again", "data", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             for slice_ in sliced(batch):
-                out = [[], [], [], [], []]
+                out = [[], [], [], [], [], []]
                 for z, wanted in zip(slice_.column("__z").to_pylist(), slice_.column("__list").to_pylist()):
                     text = press.decompress(z)
                     for w in wanted:
-                        data = text[w["start"] : w["start"] + w["shape"] % 256 + settings.length - 1]
-                        for column, value in zip(out, (w["token"], w["context"], w["shape"], w["again"], data)):
+                        data = text[w["start"] : w["start"] + w["windows"] + settings.length - 1]
+                        for column, value in zip(out, (w["token"], w["context"], w["away"], w["again"], data, data[: w["away"]][::-1])):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], list(names))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], list(names))
 
-    return rows.mapInArrow(run, "token long, context long, shape int, again boolean, data binary")
+    return rows.mapInArrow(run, "token long, context long, away int, again boolean, data binary, before binary")
 
 
 def merged(spans: list[int] | None) -> list[tuple[int, int]]:
@@ -351,7 +396,7 @@ def report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
         return work
 
-    joined = left.join(spans, same_document(left, spans), "left").select("doc_id", "__z", "spans")
+    joined = left.join(spans, ["own", "text_hash"], "left").select("doc_id", "__z", "spans")
     return extended(joined, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", make, ("__z", "spans"))
 
 
@@ -359,8 +404,8 @@ def removed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs with repeated strings taken out of text and n_chars (where docs has it) brought up to date."""
     spans = covers(docs, settings)
     names = docs.columns
-    rows = docs.select(*[F.col(f"`{n}`").alias(f"__own_{n}") for n in names if n != "text"], F.col("doc_id").cast("long").alias("doc_id"), F.col("text").isNull().alias("__null"), text_of("text").alias("__text")).withColumn("text_hash", F.xxhash64("__text"))
-    left = packed(rows)
+    rows = docs.select(*[F.col(f"`{n}`").alias(f"__own_{n}") for n in names if n != "text"], F.col("doc_id").cast("long").alias("doc_id"), F.col("text").isNull().alias("__null"), text_of("text").alias("__text"))
+    left = packed(rows.select("*", F.coalesce("doc_id", F.lit(0)).alias("own"), F.xxhash64("__text", F.col("doc_id").isNull()).alias("text_hash")))
 
     def make():
         press = zstandard.ZstdDecompressor()
@@ -375,7 +420,21 @@ def removed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
         return work
 
-    joined = left.join(spans, same_document(left, spans), "left").drop("__id", "__hash", "text_hash", "doc_id")
+    joined = left.join(spans, ["own", "text_hash"], "left").drop("own", "text_hash", "doc_id")
     out = extended(joined, "text string", make, ("__z", "spans", "__null"))
     back = [F.char_length("text").cast(docs.schema[n].dataType).alias(n) if n == "n_chars" else F.col(n) if n == "text" else F.col(f"`__own_{n}`").alias(n) for n in names]
     return out.select(*back)
+
+
+def oracle(length: int = 200, documents: str = "documents") -> str:
+    """report() in DuckDB SQL: every window of every text, grouped."""
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM {documents}),
+    w AS (SELECT r, i, md5(b[i + 1:i + {length}]) AS k FROM (SELECT r, b, unnest(range(n - {length - 1})) AS i FROM d WHERE n >= {length})),
+    h AS (SELECT r, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+    e AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {length} THEN 0 ELSE 1 END AS fresh FROM h),
+    s AS (SELECT r, min(i) AS a, max(i) + {length} AS z FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM e) GROUP BY r, g),
+    k AS (SELECT r, a, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS from_, a AS to_ FROM s UNION ALL SELECT r, n, coalesce((SELECT max(z) FROM s WHERE s.r = d.r), 0), n FROM d),
+    t AS (SELECT k.r, string_agg(hex(d.b[from_ + 1:to_]), '' ORDER BY k.a, from_) AS kept FROM k JOIN d USING (r) GROUP BY k.r)
+    SELECT doc_id, n AS n_bytes, coalesce((SELECT sum(z - a) FROM s WHERE s.r = d.r), 0)::BIGINT AS n_removed, (SELECT count(*) FROM s WHERE s.r = d.r)::BIGINT AS n_spans,
+        sha256(unhex(t.kept)) AS kept_sha256 FROM d JOIN t USING (r)"""
