@@ -59,8 +59,13 @@ class Settings:
 
 
 def stems() -> str:
-    """A pattern with one group: a stem at a word's start. Longer stems first, as the first that fits is taken."""
-    return "[^\\p{L}](" + "|".join(sorted({x for field in TOPICS.values() for x in field.split()}, key=lambda x: (-len(x), x))) + ")"
+    """A pattern with one group: a stem at a word's start, longer ones first, as the first that fits is taken.
+
+    Stems are gathered by their first letter, so that few alternatives are tried at a word.
+    """
+    all_stems = {x for field in TOPICS.values() for x in field.split()}
+    by_letter = {c: sorted((x[1:] for x in all_stems if x[0] == c), key=lambda x: (-len(x), x)) for c in sorted({x[0] for x in all_stems})}
+    return "[^a-zß-ÿ](" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")"
 
 
 def topic(text: Column, words: Column) -> Column:
