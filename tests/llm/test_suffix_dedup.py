@@ -101,12 +101,16 @@ def test_a_crowded_token_is_divided():
         cut += [(parts[p][a : a + k + 23], w) for p, a, k, w in zip(part, start, count, away)]
     cut = sorted(set(cut), key=lambda c: (c[0][c[1] :], c[0][: c[1]][::-1]))
 
+    same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    halves = [(c[w : w + 8], c[:w][::-1]) for c, w in cut]
+    reach = np.array([max((same(b, d) for k, (t, d) in enumerate(halves) if k != i and t == token), default=0) for i, (token, b) in enumerate(halves)])
+
     def ranges(size):
         found, classes, most = {}, {}, 0
         for at in range(0, len(cut), size):
             rows = cut[at : at + size]
             most = max(most, len(rows))
-            low, high, (owner, window, alone) = sd.solve([c for c, _ in rows], np.array([w for _, w in rows]), np.zeros(len(rows), bool), settings, True, True)
+            low, high, (owner, window, alone) = sd.solve([c for c, _ in rows], np.array([w for _, w in rows]), reach[at : at + size], np.zeros(len(rows), bool), settings, True, True)
             for k, (a, b) in enumerate(zip(low, high)):
                 if b >= 0:
                     found.setdefault(at + k, set()).update((a, b))
@@ -123,6 +127,21 @@ def test_a_crowded_token_is_divided():
         assert ranges(size) == (whole, min(size, len(cut)))
 
 
+def test_reaches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(4)), k, bytes(rng.choice([97, 98], rng.integers(0, 12)).astype(np.uint8))) for k in range(400)]
+    df = spark.createDataFrame([(t, k, len(b), False, bytearray(b), bytearray(b)) for t, k, b in rows], "token long, context long, away int, again boolean, data binary, before binary")
+    got = {r.context: r for r in sd.reaches(df, sd.Settings(length=24, token=8)).collect()}
+    assert len(got) == 400
+    same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    exact = 0
+    for t, k, b in rows:
+        want = max(same(b, c) for u, j, c in rows if j != k and u == t)
+        assert want <= got[k].reach <= len(b) and bytes(got[k].data) == b
+        exact += want == got[k].reach
+    assert exact >= 400 - 2 * 4
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(1)
     strings = [bytes(rng.choice([97, 98, 255], rng.integers(0, 30)).astype(np.uint8)) for _ in range(500)]

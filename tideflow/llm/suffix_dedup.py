@@ -9,15 +9,18 @@ windows whose anchor token occurs twice or more can be repeated; the rest are dr
 tokens. The windows of one anchor lie side by side and form its context: the suffix that starts at
 the anchor, and the bytes before it. Contexts that are equal are one with its copies counted.
 
-What remains, tokens with different contexts, is sorted. The suffixes are range-partitioned by their
-bytes, leading token first and then, so that crowded tokens are divided too, by what follows it and
-by the reversed bytes before it; the splitters are sampled. In a range, buckets of bounded size are
+What remains, tokens with different contexts, is sorted. A first order, by token and by the reversed
+bytes before it, tells from neighbours how many bytes before its anchor a context shares with any
+other (its reach). Then the suffixes are range-partitioned by their bytes, leading token first and,
+so that crowded tokens are divided too, by what follows it and by the reversed bytes before it; the
+splitters are sampled. In a range, buckets of bounded size are
 sorted by multikey quicksort, eight bytes at a time, once by the suffixes and once by the reversed
 bytes before them. In both orders the contexts that share a given number of bytes lie side by side,
 as the common prefixes of neighbours tell. A window with o bytes before its anchor is repeated if
 another context is in its class of ``length`` - o bytes in the first order and of o bytes in the
 second. Classes that reach the edge of a bucket whose token may go on in the next one are compared
-across the boundary: one row for each window class of such a bucket, counted over all buckets.
+across the boundary: one row for each window class of such a bucket with no more than its reach
+before the anchor, counted over all buckets.
 
 Defined results: null text is the empty text; texts shorter than ``length`` bytes lose nothing;
 repeated rows are copies of each other and lose everything if long enough; matches may overlap,
@@ -39,6 +42,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideflow.llm.common import extended, plainly_joined, shuffle_width, sliced, text_of, written
 
@@ -204,7 +208,34 @@ def shared_with_last(words: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.concatenate([[-1], np.where(word == 0, 8 * words.shape[1], 8 * first + equal)])
 
 
-def solve(contexts: list[bytes], away: np.ndarray, again: np.ndarray, settings: Settings, open_head: bool, open_tail: bool):
+def reaches(contexts: DataFrame, settings: Settings) -> DataFrame:
+    """contexts with ``reach``: how many bytes before the anchor are those of another context of the token.
+
+    The first and the last row of a range do not know one neighbour; their reach is all they have.
+    """
+    dealt = contexts.repartitionByRange(shuffle_width(contexts), "token", "before").sortWithinPartitions("token", "before")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None  # the last row so far, and what it shares with the one before it (None: not known)
+        for batch in batches:
+            for rows in sliced(batch):
+                if held is not None:
+                    rows = pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0]
+                token, away = rows.column("token").to_numpy(), rows.column("away").to_numpy()
+                common = shared_with_last(padded_words(rows.column("before").to_pylist(), settings.span - 1), np.arange(len(token)))
+                common[1:][token[1:] != token[:-1]] = 0
+                common[0] = settings.length if last is None else last
+                reach = np.minimum(away[:-1], np.maximum(common[:-1], common[1:]))
+                held, last = rows.slice(len(token) - 1), int(common[-1])
+                if len(reach):
+                    yield pa.RecordBatch.from_arrays([*rows.slice(0, len(reach)).columns, pa.array(reach.astype(np.int32))], [*rows.schema.names, "reach"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([*held.columns, held.column("away")], [*held.schema.names, "reach"])
+
+    return dealt.mapInArrow(run, T.StructType([*contexts.schema.fields, T.StructField("reach", T.IntegerType())]))
+
+
+def solve(contexts: list[bytes], away: np.ndarray, reach: np.ndarray, again: np.ndarray, settings: Settings, open_head: bool, open_tail: bool):
     """(low, high, edge) of a bucket: first and last repeated window of each context (first > last if
     none), and (context, window, alone) of one window of each class that reaches an open edge.
 
@@ -246,7 +277,7 @@ def solve(contexts: list[bytes], away: np.ndarray, again: np.ndarray, settings:
                 edge |= right_class[use] == right_class[by_right[0]]
             if open_tail:
                 edge |= right_class[use] == right_class[by_right[-1]]
-            edge &= new
+            edge &= new & (reach[use] >= o)
             touching.append((use[edge], index[use[edge]], ~several[edge]))
     owner, window, alone = (np.concatenate(x) for x in zip(*touching)) if touching else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
     alone = alone & ((window < low[owner]) | (window > high[owner]))
@@ -257,7 +288,7 @@ SOLVED = "token long, context long, low int, high int, digest binary"
 
 
 def sorted_contexts(contexts: DataFrame, settings: Settings) -> DataFrame:
-    """SOLVED rows from rows (token, context, away, again, data, before).
+    """SOLVED rows from rows (token, context, away, again, data, before, reach).
 
     A row without digest tells the first and the last byte that repeated windows of a context cover;
     a row with a digest is a window of a class at an open edge (token is null if the answer is not needed).
@@ -271,8 +302,8 @@ def sorted_contexts(contexts: DataFrame, settings: Settings) -> DataFrame:
         rows: list[tuple] = []
 
         def solved(open_head: bool, open_tail: bool) -> pa.RecordBatch:
-            token, context, away, again, data = (list(x) for x in zip(*rows))
-            low, high, (owner, window, alone) = solve(data, np.array(away), np.array(again), settings, open_head, open_tail)
+            token, context, away, reach, again, data = (list(x) for x in zip(*rows))
+            low, high, (owner, window, alone) = solve(data, np.array(away), np.array(reach), np.array(again), settings, open_head, open_tail)
             keep = np.flatnonzero(high >= 0)
             out = [[token[i] for i in keep], [context[i] for i in keep], low[keep].tolist(), (high[keep] + settings.length).tolist(), [None] * len(keep)]
             for i, w, asks in zip(owner.tolist(), window.tolist(), alone.tolist()):
@@ -283,7 +314,7 @@ def sorted_contexts(contexts: DataFrame, settings: Settings) -> DataFrame:
 
         head = True  # a range may begin, and end, inside a token
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("token", "context", "away", "again", "data"))):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("token", "context", "away", "reach", "again", "data"))):
                 if len(rows) >= max(1, settings.bucket // 2) and row[0] != rows[-1][0]:
                     yield solved(head, False)
                     rows, head = [], False
@@ -329,7 +360,7 @@ def covers(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     # a document that repeats id and text is cut once
     left = packed(rows.select("own", "text_hash", "__text")).groupBy("own", "text_hash").agg(F.first("__z").alias("__z"))
     cut = written(cut_contexts(left.join(lists, ["own", "text_hash"]).select("__z", "__list"), settings))
-    solved = written(sorted_contexts(cut, settings))
+    solved = written(sorted_contexts(written(reaches(cut, settings)), settings))
     edges = solved.where(F.col("digest").isNotNull())
     equal = edges.groupBy(F.col("digest").alias("__digest")).agg(F.count("*").alias("__n")).where("__n > 1").select("__digest")
     across = plainly_joined(edges.where(F.col("token").isNotNull()), equal, "digest", "__digest").select("token", "context", "low", "high")
