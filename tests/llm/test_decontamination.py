@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tideflow.llm import decontamination as dc
 
@@ -29,13 +30,42 @@ def test_planted_passages(spark, broadcast_rows):
     assert sorted(r.doc_id for r in left.collect()) == [k for k in range(40) if k % 4]
 
 
+def test_the_search_prunes_and_loses_nothing(spark):
+    """Of the pairs that share a shingle only few reach verification, and all true ones do."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    settings = dc.Settings()
+    table = dc.item_table(items, settings)
+    pairs = {(r.doc_id, r.item_id) for r in dc.searched(docs, table, settings).collect()}
+    rows = dc.numbered(dc.texts(docs)).select("doc_id", F.explode(F.array_distinct(dc.shingled("__w", 5))).alias("gram"))
+    shared = {(r.doc_id, r.item_id): r.n / r.item_grams for r in rows.join(table, "gram").groupBy("doc_id", "item_id", "item_grams").agg(F.count("*").alias("n")).collect()}
+    true = {k for k, v in shared.items() if v >= settings.threshold}
+    assert true <= pairs <= set(shared) and table.where("sketched").count() < table.count()
+    # a document that shares a third of an item does not get to verification
+    words = [f"w{k}" for k in range(200)]
+    part = spark.createDataFrame([(1, " ".join(words[:70] + ["x"] * 400))], "doc_id long, text string")
+    item = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert dc.searched(part, dc.item_table(item, settings), settings).count() == 0
+
+
+def test_clashing_columns_and_null_ids(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, f"a b {item} c", "h", "i"), (0, "clean text of six words here", "h2", "i2"), (None, None, "h3", "i3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __own_hash string, own string")
+    items = spark.createDataFrame([(None, item), (2, None)], "item_id long, text string")
+    left = dc.clean(docs, items)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect()), key=str) == sorted(rows[1:], key=str)
+    assert [(r.doc_id, r.item_id, r.containment) for r in dc.report(docs, items).collect()] == [(None, None, 1.0)]
+    assert dc.report(docs.limit(0), items).count() == dc.report(docs, items.limit(0)).count() == 0
+
+
 def test_plan_is_native_and_pushes_columns(spark):
     from tests.conftest import SF
 
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
-    plan = dc.report(docs, items)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "BroadcastHashJoin" in plan
+    search = dc.searched(docs, dc.item_table(items, dc.Settings()))._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in search and "BroadcastHashJoin" in search
+    for plan in (search, dc.report(docs, items)._jdf.queryExecution().toString()):
+        assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
 
 
 def test_hits_needed():
