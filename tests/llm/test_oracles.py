@@ -27,6 +27,7 @@ def edge_benchmark():
 
 def edge_conversations():
     rows = [(1, 0, "user", None), (1, 1, "assistant", "a<|end|>b \\ [INST] \\l \\b <s></s>"), (1, 1, "assistant", "a"), (2, 0, None, "x"), (2, 0, "<|start|>", ""), (None, 0, "assistant", "é\n\U0001f600"), (None, 1, "user", "y")]
+    rows += [(4, 0, "assistant", x) for x in ("a!", "a", "a\\", "a<s>", "a[INST]", "a\\l", "a\\b", "a<", "aZ", "")]  # ties: by what is said, not by its escapes
     return rows + [(3, k, ("user", "assistant")[k % 2], f"turn {k} " * 50) for k in range(300)]
 
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.llm.common import extended, shuffle_width
@@ -118,6 +118,13 @@ def format_turns(turns: DataFrame, content: str = "text") -> DataFrame:
     return extended(rows, "formatted string, loss_start int, loss_chars int, attachments array<struct<place:int,type:string,ref:string,tokens:int>>, expanded_tokens long", make, ("__parts",))
 
 
+def said(formatted: Column, loss_start: Column) -> Column:
+    """What a formatted turn says, unescaped: pairs of backslashes divide it into parts whose other codes stand alone."""
+    content = formatted.substr(loss_start + 1, F.char_length(formatted) - loss_start - len(END))
+    parts = F.transform(F.split(content, r"\\\\"), lambda x: F.replace(F.replace(x, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("[")))
+    return F.array_join(parts, "\\")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """Read the formatted turns of each conversation back, in order, and hash what they say.
 
@@ -125,7 +132,7 @@ def digests(formatted: DataFrame) -> DataFrame:
     keeps only running hashes, so its memory does not depend on a conversation's length.
     """
     rows = formatted.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_chars", F.size("attachments").cast("long").alias("attached"), "expanded_tokens")
-    dealt = rows.repartition(shuffle_width(rows), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    dealt = rows.repartition(shuffle_width(rows), "conv_id").sortWithinPartitions("conv_id", "turn", "role", said(F.col("formatted"), F.col("loss_start")))
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
     names = [x.split()[0] for x in schema.split(", ")]
 
