@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tideflow.llm import ngram_join as nj
 
@@ -45,6 +46,41 @@ def test_links_and_groups_equal_brute_force(spark, seed, block):
     assert max(links) > 5
 
 
+def test_a_large_cluster_is_counted_by_distances(spark):
+    """120 near copies of one text, most of them close to the hub and some far, in blocks of 4: links equal brute force, and few blocks are verified."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(120):
+        copy = list(base)
+        for _ in range((0, 1, 2, 5)[k % 4]):
+            copy[rng.integers(len(copy))] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(copy))
+    texts += texts[:9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    settings = nj.Settings(block=4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nj.report(df, settings).collect()}
+    root, links = brute(texts)
+    assert got == {i: (root[i], links[i]) for i in range(len(texts))}
+    members = spark.createDataFrame([(f"c{k}".encode(), b"c0", 1, nj.shingles(t, 5, nj.WordHashes()).tobytes()) for k, t in enumerate(texts[:120])], "cls binary, hub binary, copies long, grams binary").withColumn("size", F.length("grams"))
+    places = nj.placed(members, settings).toPandas()
+    assert len(places) == 120 and (places.groupby("block").size() < 30).all()
+    assert (places.ring * 2 * (settings.limit // 10) <= settings.limit).mean() > 0.6
+
+
+def test_repeated_rows_are_verified_once(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join(base[:-1] + ["other"])
+    rows = [(None, " ".join(base))] * 400 + [(3, near), (4, near + " end")]
+    got = nj.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 402 and {r.class_id for r in got} == {3} and {r.n_links for r in got} == {401}
+
+
+def test_clashing_names_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "h", "i", "o"), (2, "a b c d e f", "h2", "i2", "o2"), (3, None, "h3", "i3", "o3")], "doc_id long, text string, __hash string, __id string, own string")
+    assert sorted(map(tuple, nj.one_of_each(docs).collect())) == [(1, "a b c d e f", "h", "i", "o"), (3, None, "h3", "i3", "o3")]
+
+
 def test_one_of_each(spark):
     texts = near_copies(3, 5)
     rows = [(i, t, "x", i) for i, t in enumerate(texts)] + [(0, texts[0], "again", 0), (None, texts[1], "null", 1), (None, "quite alone in this world today", "null", 2)]

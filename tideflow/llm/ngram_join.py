@@ -4,12 +4,20 @@ Texts become sets of hashed five-word shingles. Texts with the same set are one
 are joined once. Each class has a MinHash signature cut into bands; the numbers of bands and rows
 are chosen so that a pair at the threshold collides in some band with the target recall. Classes
 are shuffled by band hash; a class that shares a band with another is a member of the cluster of
-its smallest partner. Clusters are dealt into blocks of bounded size by a hash, and the pairs of
-blocks that share a band, each block with itself included, are verified: a task holds the full
-shingle sets of two blocks and computes exact intersections, so what is checked contains all
-colliding pairs. No pair of documents becomes a row: a block pair returns each class's number of
-linked documents and its local root, and connected components of the roots give the classes'
-groups.
+its smallest partner, the hub.
+
+Clusters are dealt into blocks of bounded size by a hash, and the pairs of blocks that share a
+band, each block with itself included, are verified: a task holds the full shingle sets of two
+blocks and computes exact intersections, so what is checked contains all colliding pairs. No pair
+of documents becomes a row: a block pair returns each class's number of linked documents and its
+local root, and connected components of the roots give the classes' groups.
+
+In a cluster of more than one block the exact Jaccard distance of each class to the hub is taken
+first. It is a metric: two classes whose distances to the hub add up to no more than 1 - threshold
+are linked. These links are counted by the distances' histogram, not by pairs; blocks hold classes
+of like distance, and a pair of blocks is verified only if some of its sums are greater. A cluster
+of near copies, however large, whose members lie within half of that of the hub, is counted in
+linear time; what lies farther out is verified block against block.
 
 Result: one row per document with its group's id (the smallest document id in it) and the number
 of other documents linked to it, copies included.
@@ -23,17 +31,18 @@ other; an empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideflow.llm.common import checkpointed, extended, plainly_joined, text_of
+from tideflow.llm.common import checkpointed, extended, plainly_joined, text_of, written
 
 WORD = re.compile(r"\w+")
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -46,6 +55,12 @@ class Settings:
     recall: float = 0.9999
     rows: int = 5
     block: int = 256
+    block_bytes: int = 1 << 24
+
+    @property
+    def limit(self) -> int:
+        """The greatest distance of a linked pair, in thousandths."""
+        return 1000 - ceil(self.threshold * 1000 - 1e-9)
 
     @property
     def bands(self) -> int:
@@ -109,8 +124,14 @@ class Signer:
         return b"s" + xxhash.xxh3_128_digest(grams.tobytes()), key.view(np.int64).tolist()
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, text_hash, __text): own and text_hash tell a row's id and text; a null id's hash differs from that of id 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("__text"))
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("own"), F.xxhash64("__text", F.col("doc_id").isNull()).alias("text_hash"), "__text")
+
+
 def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, text_hash, cls, bands) of every row."""
+    """(doc_id, own, text_hash, cls, bands) of every row."""
 
     def make():
         signer = Signer(settings)
@@ -120,8 +141,45 @@ def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
 
         return work
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("__text")).select("doc_id", F.xxhash64("__text").alias("text_hash"), "__text")
-    return extended(rows, "cls binary, bands array<long>", make)
+    return extended(keyed(docs), "cls binary, bands array<long>", make)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """__text as zstandard frames in __z: what the join moves is about a third."""
+
+    def make():
+        press = zstandard.ZstdCompressor(level=1)
+        return lambda part: [[press.compress(t) for t in part.column("__text").cast(pa.binary()).to_pylist()]]
+
+    return extended(rows, "__z binary", make)
+
+
+def shingle_sets(rows: DataFrame, settings: Settings) -> DataFrame:
+    """rows with the sorted shingle hashes, as bytes, for the packed texts."""
+
+    def make():
+        press, hashes = zstandard.ZstdDecompressor(), WordHashes()
+        return lambda part: [[shingles(press.decompress(z).decode("utf-8", "surrogatepass"), settings.words, hashes).tobytes() for z in part.column("__z").to_pylist()]]
+
+    return extended(rows, "grams binary", make, ("__z",))
+
+
+def hub_distances(pairs: DataFrame) -> DataFrame:
+    """rows with ``far``: the Jaccard distance of grams and hub_grams in thousandths, rounded up."""
+
+    def make():
+        def work(part):
+            out = []
+            for a, b in zip(part.column("grams").to_pylist(), part.column("hub_grams").to_pylist()):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - common
+                out.append(-(-1000 * (union - common) // union))
+            return [out]
+
+        return work
+
+    return extended(pairs, "far int", make, ("grams", "hub_grams"))
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -165,14 +223,16 @@ def roots(matrix: np.ndarray) -> np.ndarray:
 
 
 def verified(members: DataFrame, settings: Settings) -> DataFrame:
-    """(cls, links, root) from rows (p, q, block, cls, copies, text): each group is a pair of blocks."""
+    """(cls, links, root) from rows (p, q, block, cls, hub, far, copies, grams): each group is a pair of blocks.
+
+    Pairs that the histogram of their cluster counts (``close`` below) join their roots, but add no links here.
+    """
 
     def verify(batch: pd.DataFrame) -> pd.DataFrame:
-        hashes = WordHashes()
-        batch = batch.drop_duplicates("cls").sort_values("cls", key=lambda c: c.map(bytes))
+        batch = batch.sort_values("cls", key=lambda c: c.map(bytes))
         alone = batch.p.iloc[0] == batch.q.iloc[0]
         side = np.zeros(len(batch), bool) if alone else (batch.block != batch.p).to_numpy()
-        sets = [shingles(t, settings.words, hashes) for t in batch.text]
+        sets = [np.frombuffer(x, np.uint64) for x in batch.grams]
         copies, names = batch.copies.to_numpy(np.int64), batch.cls.map(bytes).to_numpy()
         order = np.flatnonzero(~side)
         if alone:
@@ -185,9 +245,11 @@ def verified(members: DataFrame, settings: Settings) -> DataFrame:
                 hit = linked([sets[i] for i in order], [sets[i] for i in other], settings.threshold)
                 matrix[np.ix_(order, other)] = hit
                 matrix[np.ix_(other, order)] = hit.T
-        links = matrix @ copies
+        far, hub = batch.far.to_numpy(np.int64), np.unique(batch.hub.map(bytes).to_numpy(), return_inverse=True)[1]
+        close = (far[:, None] + far[None, :] <= settings.limit) & (hub[:, None] == hub[None, :])
+        links = (matrix & ~close) @ copies
         top = roots(matrix)
-        keep = links > 0
+        keep = matrix.any(axis=1)
         return pd.DataFrame({"cls": names[keep], "links": links[keep], "root": names[top[keep]]})
 
     return members.groupBy("p", "q").applyInPandas(verify, "cls binary, links long, root binary")
@@ -216,35 +278,72 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+#: far of a class whose distance is not taken: more than any limit.
+UNKNOWN = 1001
+
+
+def placed(sets: DataFrame, settings: Settings) -> DataFrame:
+    """(cls, hub, copies, far, ring, block) of the members in rows (cls, hub, copies, grams, size).
+
+    far is known in clusters of more than one block; ring is the tenth of the limit that it lies in.
+    """
+    bound = F.greatest(F.ceil(F.count("*") / settings.block), F.ceil(F.sum("size") / settings.block_bytes))
+    sizes = written(sets.groupBy("hub").agg(bound.alias("__parts")))
+    large = sizes.where("__parts > 1").select(F.col("hub").alias("__hub"))
+    hub_sets = sets.join(large, sets["cls"] == large["__hub"]).select("__hub", F.col("grams").alias("hub_grams"))
+    far = written(hub_distances(plainly_joined(sets, hub_sets, "hub", "__hub").select("cls", "hub", "copies", "size", "grams", "hub_grams")))
+    small = sets.join(sizes.where("__parts = 1"), "hub").select("cls", "hub", "copies", "size", F.lit(UNKNOWN).alias("far"))
+    width = max(1, settings.limit // 10)
+    ringed = small.unionByName(far).withColumn("ring", F.when(F.col("far") <= settings.limit, F.ceil(F.col("far") / width)).otherwise(UNKNOWN).cast("int"))
+    parts = written(ringed.groupBy("hub", "ring").agg(bound.alias("__parts")))
+    parts = parts.select(F.col("hub").alias("__hub"), F.col("ring").alias("__ring"), "__parts")
+    joined = ringed.join(parts, (F.xxhash64("hub", "ring") == F.xxhash64("__hub", "__ring")) & (F.col("hub") == F.col("__hub")) & (F.col("ring") == F.col("__ring")))
+    return joined.select("cls", "hub", "copies", "far", "ring", F.xxhash64("hub", "ring", F.pmod(F.xxhash64("cls"), "__parts")).alias("block"))
+
+
+def close_links(places: DataFrame, settings: Settings) -> DataFrame:
+    """(cls, links): for each class the documents of other classes whose distances to the hub tell that they are linked."""
+    inner = places.where(F.col("far") <= settings.limit)
+    counts = inner.groupBy("hub", "far").agg(F.sum("copies").alias("n")).groupBy(F.col("hub").alias("__hub")).agg(F.collect_list(F.struct("far", "n")).alias("__counts"))
+    joined = plainly_joined(inner, counts, "hub", "__hub")
+    within = F.aggregate(F.filter("__counts", lambda x: x["far"] + F.col("far") <= settings.limit), F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    own = F.when(2 * F.col("far") <= settings.limit, F.col("copies")).otherwise(0)
+    return joined.select("cls", (within - own).alias("links"))
+
+
 def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, text_hash, group_id, links) of every row."""
-    signed = checkpointed(signatures(docs, settings))
-    classes = signed.groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("__one"), F.any_value("bands").alias("bands"))
+    """(doc_id, own, text_hash, root, group_id, links) of every row."""
+    signed = written(signatures(docs, settings))
+    classes = signed.groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("own", "text_hash")).alias("__one"), F.any_value("bands").alias("bands"))
     banded = classes.where(F.col("bands").isNotNull()).select("cls", F.explode("bands").alias("band"))
     crowded = banded.groupBy("band").agg(F.min("cls").alias("hub"), F.count("*").alias("__n")).where("__n > 1").select(F.col("band").alias("__band"), "hub")
     hubs = plainly_joined(banded, crowded, "band", "__band").select("band", "cls", "hub")
-    member = hubs.groupBy("cls").agg(F.min("hub").alias("hub"))
-    # both written, so that the join's sides are plain shuffles, which adaptive execution can split
-    member = checkpointed(member)
-    sizes = checkpointed(member.groupBy("hub").agg(F.ceil(F.count("*") / settings.block).alias("__parts")))
-    blocks = checkpointed(member.join(sizes, "hub").select("cls", F.xxhash64("hub", F.pmod(F.xxhash64("cls"), "__parts")).alias("block")))
-    meet = hubs.select("band", "cls").join(blocks, "cls").select("band", "block").distinct()
+    # written, as all other tables here that are joined by their key, so that the join's sides are plain shuffles, which adaptive execution can split
+    member = written(hubs.groupBy("cls").agg(F.min("hub").alias("hub")))
+    wanted = member.join(classes.select("cls", "copies", "__one.own", "__one.text_hash"), "cls")
+    # one row of each id and text, however often it is repeated
+    texts = packed(keyed(docs).drop("doc_id")).groupBy("own", "text_hash").agg(F.first("__z").alias("__z"))
+    sets = written(shingle_sets(texts.join(wanted, ["own", "text_hash"]).select("cls", "hub", "copies", "__z"), settings).withColumn("size", F.length("grams")))
+    places = written(placed(sets, settings))
+    blocks = places.select("block", "hub", "ring").distinct()
+    width, limit = max(1, settings.limit // 10), settings.limit
+    counted = lambda a, b: (F.col(a) + F.col(b)) * width <= limit  # noqa: E731  all sums of two rings are within the limit
+    meet = hubs.select("band", "cls").join(places.select("cls", "block", "hub", "ring"), "cls").select("band", "block", "hub", "ring").distinct()
     many = meet.groupBy("band").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("band").alias("__band"))
-    meet = plainly_joined(meet, many, "band", "__band")
-    cross = plainly_joined(meet.select("band", F.col("block").alias("p")), meet.select(F.col("band").alias("__band"), F.col("block").alias("q")), "band", "__band").where("p < q").select("p", "q").distinct()
-    cross = checkpointed(cross)
-    own = blocks.select("block").distinct()
-    tasks = cross.select("p", "q", F.col("p").alias("block")).unionByName(cross.select("p", "q", F.col("q").alias("block"))).unionByName(own.select(F.col("block").alias("p"), F.col("block").alias("q"), "block"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), text_of("text").alias("text")).withColumn("__hash", F.xxhash64("text"))
-    wanted = blocks.join(classes.select("cls", "copies", F.col("__one.doc_id").alias("__one_id"), F.col("__one.text_hash").alias("__one_hash")), "cls")
-    members = texts.join(wanted, (F.col("__hash") == F.col("__one_hash")) & F.col("__id").eqNullSafe(F.col("__one_id"))).select("block", "cls", "copies", "text")
-    found = checkpointed(verified(members.join(tasks, "block").select("p", "q", "block", "cls", "copies", "text"), settings))
-    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    root = components(found.select("cls", "root"))
+    meet = plainly_joined(meet, many, "band", "__band").drop("__band")
+    other = meet.select(F.col("band").alias("__band"), F.col("block").alias("q"), F.col("hub").alias("__hub"), F.col("ring").alias("__ring"))
+    cross = plainly_joined(meet.withColumnRenamed("block", "p"), other, "band", "__band").where((F.col("p") < F.col("q")) & ~((F.col("hub") == F.col("__hub")) & counted("ring", "__ring"))).select("p", "q").distinct()
+    cross = written(cross)
+    alone = blocks.where(~counted("ring", "ring")).select("block")
+    tasks = cross.select("p", "q", F.col("p").alias("block")).unionByName(cross.select("p", "q", F.col("q").alias("block"))).unionByName(alone.select(F.col("block").alias("p"), F.col("block").alias("q"), "block"))
+    members = places.join(sets.select("cls", "grams"), "cls").select("block", "cls", "hub", "far", "copies", "grams")
+    found = written(verified(members.join(tasks, "block").select("p", "q", "block", "cls", "hub", "far", "copies", "grams"), settings))
+    links = found.select("cls", "links").unionByName(close_links(places, settings)).groupBy("cls").agg(F.sum("links").alias("links"))
+    root = components(found.select("cls", "root").unionByName(places.where(F.col("far") <= limit).select("cls", F.col("hub").alias("root"))))
     named = classes.select("cls", "copies", "first_id").join(links, "cls", "left").join(root, "cls", "left").select("cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "first_id", F.coalesce("root", "cls").alias("root"))
     first = named.groupBy("root").agg(F.min("first_id").alias("group_id")).withColumnRenamed("root", "__root")
     named = plainly_joined(named, first, "root", "__root").select("cls", "links", "group_id", "root")
-    return signed.select("doc_id", "text_hash", "cls").join(named, "cls").select("doc_id", "text_hash", "root", "group_id", "links")
+    return signed.select("doc_id", "own", "text_hash", "cls").join(named, "cls").select("doc_id", "own", "text_hash", "root", "group_id", "links")
 
 
 def report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -254,11 +353,12 @@ def report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row of each group, the smallest id's, with docs' own columns."""
-    first = groups(docs, settings).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("__one"))
-    chosen = first.select(F.col("__one.doc_id").alias("__one_id"), F.col("__one.text_hash").alias("__one_hash"))
-    rows = docs.withColumn("__hash", F.xxhash64(text_of("text"))).withColumn("__id", F.col("doc_id").cast("long"))
-    kept = rows.join(chosen, (F.col("__hash") == F.col("__one_hash")) & F.col("__id").eqNullSafe(F.col("__one_id")), "left_semi")
-    return kept.dropDuplicates(["__id", "__hash"]).select(*[F.col(f"`{n}`") for n in docs.columns])
+    first = groups(docs, settings).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own", "text_hash")).alias("__one"))
+    chosen = first.select("__one.own", "__one.text_hash")
+    text = text_of("text")
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("own"), F.xxhash64(text, F.col("doc_id").cast("long").isNull()).alias("text_hash"))
+    kept = rows.join(chosen, ["own", "text_hash"], "left_semi").dropDuplicates(["own", "text_hash"])
+    return kept.select(*[F.col(f"__row.`{n}`").alias(n) for n in docs.columns])
 
 
 def oracle(settings: Settings = Settings(), documents: str = "documents") -> str:
