@@ -71,7 +71,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, most: int, id
 
     The rows are taken in the order of a hash of the id, so the sample does not depend on
     partitioning. A document that is labelled more than once has the rounded mean of its
-    labels; null labels and null ids are left out. ``stands_for`` is how many training rows of
+    labels; null labels and null ids are left out. An id with several texts has the smallest of them,
+    so that each id is one row, found in Spark. ``stands_for`` is how many training rows of
     its class a row of the sample stands for, so that the classes' prior does not depend on
     ``most``. The ids of the sample (2 x ``most`` longs) are the only data that is broadcast.
     """
@@ -83,7 +84,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, most: int, id
     parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("__id"), "__id").limit(most) for k in (0, 1)]
     totals = known.groupBy("label").agg(F.count("*").alias("__n")).select("label", F.greatest(F.lit(1.0), F.col("__n") / F.lit(float(most))).alias("stands_for"))
     ids = parts[0].unionByName(parts[1]).join(F.broadcast(totals), "label")
-    return docs.select(F.col(id_col).alias("__own"), text_of("text").alias("text")).join(F.broadcast(ids), F.col("__own") == F.col("__id")).select(F.col("__id").alias("id"), "text", "label", "stands_for")
+    rows = docs.select(F.col(id_col).alias("__own"), text_of("text").alias("text")).join(F.broadcast(ids), F.col("__own") == F.col("__id"))
+    return rows.groupBy(F.col("__id").alias("id"), "label", "stands_for").agg(F.min("text").alias("text"))
 
 
 def class_rates(rows: pd.DataFrame) -> tuple[float, float]:

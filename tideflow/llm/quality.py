@@ -103,9 +103,11 @@ def vectors(texts: list[str], settings: Settings, buckets: Buckets) -> tuple[np.
 
 
 def summed(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of rows; empty runs are 0."""
-    total = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
-    return total[start[1:]] - total[start[:-1]]
+    """Sums of consecutive runs of rows, each on its own, so that they do not depend on the rows around; empty runs are 0."""
+    out, filled = np.zeros((len(start) - 1, rows.shape[1])), np.diff(start) > 0
+    if filled.any():
+        out[filled] = np.add.reduceat(rows, start[:-1][filled], axis=0)
+    return out
 
 
 @dataclass(frozen=True)
@@ -197,7 +199,7 @@ def fit(rows: pd.DataFrame, settings: Settings) -> Model:
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fitted on the driver from at most 2 x settings.most labelled documents."""
     rows = training_rows(docs, labels, "quality", settings.most).toPandas()
-    return fit(rows.drop_duplicates("id"), settings)
+    return fit(rows, settings)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -174,7 +174,7 @@ def fit(rows: pd.DataFrame, settings: Settings) -> Model:
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fitted on the driver from at most 2 x settings.most labelled documents."""
     rows = training_rows(docs, labels, "toxic", settings.most).toPandas()
-    return fit(rows.drop_duplicates("id"), settings)
+    return fit(rows, settings)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
