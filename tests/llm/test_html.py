@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -32,12 +33,12 @@ def test_marginals_equal_enumeration(model):
 
 def test_held_out_labels(model):
     right = total = 0
-    for plain, marked in ht.labelled_pages(120, seed=101):
+    for plain, marked in ht.labelled_pages(240, seed=101):
         page = ht.parse(plain)
         labels = [1, *map(int, ht.LABEL.findall(marked))]
         right += sum((m >= 0.5) == bool(y) for m, y in zip(model.marginals(page), labels))
         total += len(labels)
-    assert right / total > 0.94
+    assert right / total > 0.97
 
 
 def test_given_pages(spark, model):
@@ -69,3 +70,34 @@ def test_edges(spark, model):
     by = {r.page_id: r.text for r in got}
     assert by[1] == by[2] == "" and by[8].count("\n\n") == 2999
     assert ht.extract(df.limit(0), model).count() == 0
+
+
+def test_layouts_without_articles_or_telling_names(model):
+    """Divisions with line breaks, anonymous paragraphs, a layout table: none of the names is one of the training pages'."""
+    long = "The river rose in the night and took the bridge with it. By noon the road was gone. "
+    more = "Nobody could say when it would be rebuilt. "
+    links = "".join(f'<a href="/{k}">Page {k}</a> ' for k in range(5))
+    for source, want in (
+        (f'<div id="q1">{links}</div><div class="zz9"><div class="yy">{long}<br><br>{more}</div></div><div id="q2">Copyright</div>', [(long + more).strip()]),
+        (f'<div>{links}</div><div><p>{long}</p><p>{more * 3}</p></div><p>&copy; 2020 Some One</p>', [long.strip(), (more * 3).strip()]),
+        (f"<table><tr><td>{links}</td><td>{long * 3}</td></tr></table>", [(long * 3).strip()]),
+        (f'<ul class="qq"><li>{links}</li></ul><div class="ww">{long * 2}</div>', [(long * 2).strip()]),
+    ):
+        assert ht.main_text(source, model) == "\n\n".join(want)
+    assert ht.main_text('<div id="top">links</div><div class="c1"><div class="c2">long text<br><br>more</div></div><div id="bot">Copyright</div>', model).endswith("long text more")
+
+
+def test_hostile_pages_take_linear_time(model):
+    def seconds(page):
+        start = time.perf_counter()
+        ht.main_text(page, model)
+        return time.perf_counter() - start
+
+    for unit in ("<div>", '<a href="', '<a ">" ', "</section><x>", "<!--", "<p><li>"):
+        few, many = min(seconds(unit * 2000) for _ in range(3)), min(seconds(unit * 8000) for _ in range(3))
+        assert many < 0.1 + 8 * few, unit
+
+
+def test_an_overlong_tag_ends_at_its_first_bracket(model):
+    source = f'<article><p>Some words that count here.</p><p title="{"x" * 70000}">And these words too.</p></article>'
+    assert ht.main_text(source, model) == "Some words that count here.\n\nAnd these words too."

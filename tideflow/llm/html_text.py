@@ -2,16 +2,19 @@
 
 A page is parsed into its tree of block elements; the text of inline elements (links, emphasis)
 belongs to the block they stand in. Each element is a binary variable (content or not).
-Its unary potential is a logistic model of tag, class and id words, text length, link share,
-depth and the tags and words of the elements around it; each parent-child edge has a 2 x 2 potential. Sum-product messages go up the tree and down
+Its unary potential is a logistic model of tag, class and id words, text length, share of the page,
+link share, sentence ends, line breaks, place in the page, depth and the tags and words of the
+elements around it; each parent-child edge has a 2 x 2 potential. Sum-product messages go up the tree and down
 again and give exact marginals; the text of elements whose content marginal is 0.5 or more is kept.
 
 The model is trained on labelled pages, where every element's label is known by construction:
-``labelled_pages`` writes pages with varied templates, or pass own (html, labels) pairs to ``fit``.
+``labelled_pages`` writes pages with varied templates, with telling and with meaningless class words,
+with paragraphs, in bare divisions with line breaks and in layout tables; or pass own (html, labels) pairs to ``fit``.
 
 Defined results: null html is the empty page; a page without content has the empty text; markup
 that is not closed or not opened is accepted; an empty table gives an empty result; repeated rows
-get equal texts. Whole pages are read. Extra columns are ignored.
+get equal texts. Whole pages are read, in time that grows with their length: a tag's quoted values
+and their number are bounded, and a tag beyond that ends at its first ``>``. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,13 @@ from pyspark.sql import functions as F
 
 from tideflow.llm.common import extended, text_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(script|style|template|noscript|textarea|title|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>"
+    r"|<(script|style|template|noscript|textarea|title|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|$)"
+    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']{1,4096}+|<|\"[^\"]{0,65536}\"|'[^']{0,65536}'){0,256}+)>"
+    r"|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>",
+    re.S | re.I,
+)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
@@ -40,14 +49,25 @@ OUTER = frozenset(("#root", "html", "body"))
 SCOPE = frozenset("article aside body div footer form header html main nav ol section table ul dl td th tr blockquote figure".split())
 
 
+SENTENCE_END = re.compile(r"[.!?…。](?=[\s\"'”»)]|$)")
+OWNER = re.compile(r"©|\(c\)|copyright|all rights reserved", re.I)
+
+
 @dataclass(slots=True)
 class Node:
+    """chars, linked: with all that is inside; own, stops, breaks, owner: of the element's own text. at: characters before it."""
+
     tag: str
     parent: int
     depth: int
+    at: int = 0
     names: tuple[str, ...] = ()
     chars: int = 0
     linked: int = 0
+    own: int = 0
+    stops: int = 0
+    breaks: int = 0
+    owner: bool = False
 
 
 @dataclass(slots=True)
@@ -59,75 +79,112 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    page, stack, block, at = Page([Node("#root", -1, 0)]), [0], 0, 0
+    page, stack, block, at, read = Page([Node("#root", -1, 0)]), [0], 0, 0, 0
     nodes, pieces = page.nodes, page.pieces
+    opened: dict[str, int] = {}  # how many elements of a tag are open
     links = 0  # open links
 
     def text(raw: str) -> None:
+        nonlocal read
         said = html.unescape(raw) if "&" in raw else raw
         if said:
             pieces.append((stack[-1], block, said))
-            n = len(said.strip())
-            for i in stack:
-                nodes[i].chars += n
-                nodes[i].linked += n * (links > 0)
+            n, node = len(said.strip()), nodes[stack[-1]]
+            read += n
+            node.own += n
+            node.linked += n * (links > 0)
+            node.stops += len(SENTENCE_END.findall(said))
+            node.owner |= bool(OWNER.search(said))
+
+    def close(k: int) -> None:
+        for i in stack[k:]:
+            opened[nodes[i].tag] -= 1
+        del stack[k:]
 
     for m in TOKEN.finditer(source):
         if m.start() > at:
             text(source[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        end, tag, rest = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        tag = (tag or "").lower()
         if not tag:
             continue
         if tag == "br":
             pieces.append((stack[-1], block, " "))
+            nodes[stack[-1]].breaks += 1
         if tag in INLINE:
             if tag == "a":
-                links = 0 if m[2] else 1
+                links = 0 if end else 1
             continue
         block += 1
-        if m[2]:
+        if end:
+            if not opened.get(tag):
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 open_tag = nodes[stack[k]].tag
                 if open_tag == tag:
-                    del stack[k:]
+                    close(k)
                     links = 0
                     break
                 if tag not in SCOPE and open_tag in SCOPE:
                     break
             continue
         if tag in CLOSES_P and nodes[stack[-1]].tag == "p":
-            stack.pop()
+            close(len(stack) - 1)
             links = 0
         kinds = OWN_KIND.get(tag)
         if kinds:
             for k in range(len(stack) - 1, 0, -1):
                 open_tag = nodes[stack[k]].tag
                 if open_tag in kinds:
-                    del stack[k:]
+                    close(k)
                     break
                 if open_tag in SCOPE and open_tag not in kinds:
                     break
         if tag in VOID:
             continue
-        names = tuple(w.lower() for _, value in ATTRIBUTE.findall(m[4]) for w in WORDS.findall(value)) if m[4] else ()
-        nodes.append(Node(tag, stack[-1], nodes[stack[-1]].depth + 1, names))
-        if not (m[4] or "").rstrip().endswith("/"):
+        names = tuple(w.lower() for _, value in ATTRIBUTE.findall(rest) for w in WORDS.findall(value)) if rest else ()
+        nodes.append(Node(tag, stack[-1], nodes[stack[-1]].depth + 1, read, names))
+        if not (rest or "").rstrip().endswith("/"):
             stack.append(len(nodes) - 1)
+            opened[tag] = opened.get(tag, 0) + 1
     if at < len(source):
         text(source[at:])
+    for node in reversed(nodes):
+        node.chars += node.own
+        if node.parent >= 0:
+            nodes[node.parent].chars += node.chars
+            nodes[node.parent].linked += node.linked
     return page
 
 
 def evidence(page: Page) -> tuple[list[list[str]], list[list[str]]]:
     """Feature names of each element, and those that it gives to all elements inside it."""
     own, given = [], []
-    for node in page.nodes:
+    total = max(1, page.nodes[0].chars)
+    # elements in, and around, an article or main element; what is neither stands beside it, if the page has one
+    within, around = [], set()
+    for i, node in enumerate(page.nodes):
+        within.append(node.tag in ("article", "main") or (node.parent >= 0 and within[node.parent]))
+        while within[i] and node.parent >= 0 and node.parent not in around and not within[node.parent]:
+            around.add(node.parent)
+            node = page.nodes[node.parent]
+    for i, node in enumerate(page.nodes):
         size = min(6, len(str(node.chars)) if node.chars else 0)
         share = int(4 * node.linked / node.chars) if node.chars else 5
+        part = min(5, int(6 * node.chars / total))
+        said = len(str(node.own)) if node.own else 0
+        stops = min(3, node.stops)
+        place = "first" if node.at == 0 else "head" if node.at < 0.1 * total else "last" if node.at + node.chars >= total else "foot" if node.at > 0.9 * total else "mid"
         names = {f"name={w}" for w in node.names}
-        own.append([f"tag={node.tag}", f"size={size}", f"links={share}", f"depth={min(node.depth, 6)}", f"tag+links={node.tag},{share}", *names])
-        given.append([] if node.tag in OUTER else [f"in={node.tag}", *(f"in={w}" for w in set(node.names))])
+        own.append(
+            [f"tag={node.tag}", f"size={size}", f"links={share}", f"depth={min(node.depth, 6)}", f"tag+links={node.tag},{share}", f"part={part}", f"own={said}", f"own+stops={said},{stops}"]
+            + [f"own+links={min(said, 3)},{share}", f"place+own={place},{min(said, 3)}", f"breaks={min(2, node.breaks)},{min(said, 3)}"]
+            + (["owner"] if node.owner and not within[i] else [])
+            + (["beside"] if around and not within[i] and i not in around else [])
+            + sorted(names)
+        )
+        given.append([] if node.tag in OUTER else [f"in={node.tag}", f"inlinks={share}", *(f"in={w}" for w in sorted(set(node.names)))])
     return own, given
 
 
@@ -203,12 +260,20 @@ BOILERPLATE = {
 CONTENT = "article content post entry body main story text page"
 
 
-def labelled_pages(count: int = 500, seed: int = 7) -> list[tuple[str, str]]:
+def labelled_pages(count: int = 600, seed: int = 7) -> list[tuple[str, str]]:
     """(html, html with every element's label in a data-y attribute), from varied templates."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     chance = lambda p: rng.random() < p
-    words = lambda n: " ".join("".join(pick(("ka", "lo", "mi", "ter", "an", "su", "ve", "ri", "ol", "be")) for _ in range(int(rng.integers(1, 4)))) for _ in range(n))
+    syllables = lambda n: " ".join("".join(pick(("ka", "lo", "mi", "ter", "an", "su", "ve", "ri", "ol", "be")) for _ in range(int(rng.integers(1, 4)))) for _ in range(n))
+
+    def words(n: int) -> str:
+        """Sentences; up to four words stand without a full stop."""
+        plain = syllables(n).split()
+        if n < 5:
+            return " ".join(plain)
+        step = int(rng.integers(5, 14))
+        return " ".join(" ".join(plain[i : i + step]).capitalize() + "." for i in range(0, n, step))
 
     def element(tag: str, label: int, body: str, names: str = "") -> str:
         name = f' {pick(("class", "id"))}="{names}"' if names else ""
@@ -259,8 +324,47 @@ def labelled_pages(count: int = 500, seed: int = 7) -> list[tuple[str, str]]:
             return element("table", 1, "".join(element("tr", 1, element("td", 1, words(2)) + element("td", 1, words(3))) for _ in range(3)))
         return element("div", 1, words(int(rng.integers(5, 80))))
 
+    def plain_page() -> str:
+        """A page whose names tell nothing: bare divisions or a layout table, text in paragraphs or between line breaks."""
+        name = lambda: pick(("", "", f"{pick('abcdxyz')}{int(rng.integers(1, 99))}", pick(("box", "inner", "col", "row", "wrap", "outer", "left", "right"))))
+        anchors = lambda n: pick((" | ", " ", "")).join(element("a", 0, words(int(rng.integers(1, 4)))) for _ in range(n))
+
+        def bar() -> str:
+            kind = rng.random()
+            body = anchors(int(rng.integers(1, 9))) if kind < 0.6 else syllables(int(rng.integers(1, 5))) if kind < 0.85 else element("ul", 0, links(int(rng.integers(2, 7))))
+            return element(pick(("div", "div", "div", "p", "center")), 0, body, name())
+
+        def foot() -> str:
+            said = pick(("Copyright", "&copy; 2020", "(c)", "Copyright 2019", "All rights reserved"))
+            return element(pick(("div", "div", "p", "td", "address")), 0, pick((said, f"{said} {syllables(int(rng.integers(1, 5)))}", f"{said} {anchors(2)}")), name())
+
+        def text() -> str:
+            kind, count = rng.random(), int(rng.integers(1, 9))
+            some = lambda: words(int(rng.integers(2, 90)))
+            if kind < 0.45:
+                return pick(("<br><br>", "<br>", "<br/><br/>")).join(some() for _ in range(count))
+            if kind < 0.75:
+                return "".join(element("p", 1, some()) for _ in range(count))
+            if kind < 0.9:
+                return "".join(element("div", 1, some(), name()) for _ in range(count))
+            return (element("h1", 1, words(4)) if chance(0.5) else "") + "".join(paragraph() for _ in range(count))
+
+        if chance(0.7):
+            main = element("div", 1, text(), name())
+            if chance(0.5):
+                main = element("div", 1, main, name())
+            inner = "".join(bar() for _ in range(int(rng.integers(0, 3)))) + main + "".join(bar() for _ in range(int(rng.integers(0, 2)))) + (foot() if chance(0.7) else "")
+            return element("div", 1, inner, name()) if chance(0.4) else inner
+        side = lambda: element("td", 0, pick((anchors(int(rng.integers(2, 9))), element("ul", 0, links(4)))))
+        rows = (element("tr", 0, element("td", 0, anchors(3))) if chance(0.5) else "") + element("tr", 1, (side() if chance(0.7) else "") + element("td", 1, text()) + (side() if chance(0.3) else "")) + (element("tr", 0, element("td", 0, "Copyright " + syllables(2))) if chance(0.5) else "")
+        return element("table", 1, rows)
+
     pages = []
-    for _ in range(count):
+    for k in range(count):
+        if k % 3 == 2:
+            marked = element("html", 1, element("body", 1, plain_page()))
+            pages.append((re.sub(r' data-y="\d"', "", marked), marked))
+            continue
         body = (element("h1", 1, words(int(rng.integers(1, 9)))) if chance(0.8) else "") + "".join(paragraph() for _ in range(int(rng.integers(1, 14) if chance(0.9) else rng.integers(14, 120))))
         for kind in ("ad", "share", "side", "form", "notice"):
             if chance(0.12):

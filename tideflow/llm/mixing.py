@@ -52,7 +52,7 @@ class Settings:
 
     flatten: float = 0.7
     rounds: int = 200
-    tolerance: float = 1e-10
+    tolerance: float = 1e-13
     seed: str = "mix"
     most_cells: int = 50_000
     targets: dict[str, dict[str, float]] = field(default_factory=dict)
@@ -145,7 +145,7 @@ def rake_frame(cells: DataFrame, settings: Settings) -> DataFrame:
             frame = frame.join(sums, f"__{name}").withColumn("__mass", F.col("__mass") * F.col(f"__want_{name}") / F.col("__now")).drop("__now")
         frame = checkpointed(frame)
         gaps = [frame.groupBy(f"__want_{n}", f"__{n}").agg(F.sum("__mass").alias("__now")).select(F.abs(F.col("__now") - F.col(f"__want_{n}")).alias("gap")) for n in DIMENSIONS]
-        if gaps[0].unionByName(gaps[1]).unionByName(gaps[2]).agg(F.max("gap")).first()[0] < settings.tolerance:
+        if gaps[0].unionByName(gaps[1]).unionByName(gaps[2]).agg(F.max("gap")).first()[0] < max(settings.tolerance, 1e-11):
             break
     return frame.select("__source", "__lang", "__topic", (F.col("__mass") / F.col("__base")).alias("__weight"))
 
@@ -210,7 +210,7 @@ def marginals(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return out
 
 
-def oracle(rounds: int = 24, settings: Settings = Settings(), source: str = "documents") -> str:
+def oracle(rounds: int = 40, settings: Settings = Settings(), source: str = "documents") -> str:
     """report() in DuckDB SQL for the default targets: enough rounds to meet them are written out."""
     steps, now = [], "m0"
     for k in range(rounds):
