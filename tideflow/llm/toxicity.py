@@ -40,7 +40,9 @@ TAIL = bytes(range(128, 137))
 @dataclass(frozen=True)
 class Settings:
     """most: labelled rows of each class that are fitted on. toxic_weight: a toxic row's weight in the calibration.
-    most_share: shares of a text's windows count up to this, so that very short texts are not off the scale."""
+    most_share: shares of a text's windows count up to this, so that very short texts are not off the scale.
+    toxic_bytes: least size of the toxic dictionary, which grows with its words. most_samples: windows of the bounded
+    training rows that the ordinary dictionary is trained on, drawn at random from all of them."""
 
     window_words: int = 1
     ordinary_window_words: int = 8
@@ -157,10 +159,11 @@ def fit(rows: pd.DataFrame, settings: Settings) -> Model:
     recurring = [(w, n) for w, n in sorted(seen[1].items()) if n >= least and n / total[1] >= settings.least_ratio * (seen[0][w] + 0.25) / total[0]]
     marks = [f" {w} ".encode() for w, n in recurring for _ in range(n)]
     if marks:
-        copies = marks * (1 + 4 * settings.toxic_bytes // sum(map(len, marks)))
-        learned = trained(copies, settings.toxic_bytes, settings.level)
+        size = max(settings.toxic_bytes, 2 * sum(map(len, dict.fromkeys(marks))))  # room for every word
+        copies = marks * (1 + 4 * size // sum(map(len, marks)))
+        learned = trained(copies, size, settings.level)
         # the trainer leaves out words that lie close to others; they stand before what it chose
-        model = Model(settings, base, b"".join(x for x in dict.fromkeys(marks) if x not in learned)[: settings.toxic_bytes] + learned)
+        model = Model(settings, base, b"".join(x for x in dict.fromkeys(marks) if x not in learned) + learned)
         lengths = Counter(length for _, length in map(model.gains().__getitem__, (LEAD + x + TAIL for x in dict.fromkeys(marks))))
         model = replace(model, whole=lengths.most_common(1)[0][0])
     else:
