@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tideflow.functions import messages, timestamps
 from tideflow.functions.messages import Message
-from tideflow.functions.timestamps import BOTTOM, TOP, Timestamp
-from tideflow.operators import shapes
+from tideflow.functions.timestamps import BOTTOM, TOP, TYPE, Timestamp
+from tideflow.operators import deadlines, shapes
 from tideflow.operators.stream import Stream, to_variant
 from tideflow.plans.graph import Graph, run, run_async
 
@@ -217,6 +217,88 @@ def test_source_ends_with_top(spark):
     assert [r.kind for r in rows] == ["d", "w"] and rows[1].ts.k == 1
 
 
+def test_a_long_source_is_written_in_parts(spark):
+    class Many(shapes.Source):
+        def run(self):
+            for k in range(25):
+                yield Message(Timestamp((k,)), k)
+
+    for rows in (7, 25, 26, 100):
+        got = shapes.connect_source(spark, Many(), "long", rows).orderBy("seq").collect()
+        assert [r.seq for r in got] == list(range(26)) and [r.data for r in got[:25]] == list(range(25)) and got[25].ts.k == 1
+
+
+def test_reading_inside_run(spark):
+    class Pairs(shapes.OneInOneOut):
+        reads = True
+
+        def run(self, context):
+            stream = context.read_stream
+            while not stream.is_closed():
+                one, two = stream.read(), None
+                if not one.watermark and not stream.is_closed():
+                    two = stream.try_read()
+                if two is not None and not two.watermark:
+                    context.write_stream.send(two.timestamp, one.data * 100 + two.data)
+            for read, error in ((stream.read, shapes.ReadError), (stream.try_read, shapes.TryReadError)):
+                try:
+                    read()
+                except error:
+                    continue
+                raise AssertionError("read after Top")
+
+    rows = [(key, k, "d", Timestamp((k,)).row(), k) for key in ("a", "b") for k in range(6)]
+    df = spark.createDataFrame(rows, f"key string, seq long, kind string, ts {TYPE}, data long")
+    got = shapes.connect(Pairs, df, data_type="long", key="key").where("kind = 'd'").collect()
+    assert sorted((r.key, r.data) for r in got) == [(k, v) for k in "ab" for v in (1, 203, 405)]
+
+
+def test_sinks_have_their_effects(spark, tmp_path):
+    folder = str(tmp_path)
+
+    class Writer(shapes.Sink):
+        def __init__(self):
+            self.seen = []
+
+        def on_data(self, context, data):
+            self.seen.append(data)
+
+        def destroy(self):
+            import pathlib
+            import uuid
+
+            pathlib.Path(folder, f"{uuid.uuid4().hex}.txt").write_text(",".join(map(str, self.seen)))
+
+    rows = [(f"k{k % 3}", k, "d", Timestamp((k,)).row(), k) for k in range(9)]
+    schema = f"key string, seq long, kind string, ts {TYPE}, data long"
+    shapes.run_sink(Writer, spark.createDataFrame(rows, schema), key="key")
+    assert sorted(p.read_text() for p in tmp_path.glob("*.txt")) == ["0,3,6", "1,4,7", "2,5,8"]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in")
+    query = shapes.start_sink(Writer, spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/check", "key", availableNow=True)
+    query.awaitTermination(60)
+    assert sorted(p.read_text() for p in tmp_path.glob("*.txt")) == sorted(["0,3,6", "1,4,7", "2,5,8"] * 2)
+
+
+def test_python_predicates(spark):
+    rows = counter(spark, 10)
+    assert sorted(r.data for r in rows.filter_python(lambda x: x % 3 == 0).df.collect()) == [0, 3, 6, 9]
+    left, right = rows.split_python(lambda x: x < 4)
+    assert sorted(r.data for r in left.df.collect()) == [0, 1, 2, 3] and right.df.count() == 6
+
+
+def test_deadlines_of_an_operator(spark):
+    class Late(shapes.OneInOneOut):
+        def setup(self, context):
+            context.add_deadline(deadlines.Deadline("quick", 2.0).on_read_stream("in").on_write_stream("out"))
+
+    at = lambda c: F.timestamp_seconds(c).alias
+    messages = spark.range(4).select(F.col("id").alias("ts"), F.col("id").alias("seq"), at(F.col("id"))("arrival"))
+    releases = spark.range(4).select(F.col("id").alias("ts"), at(F.col("id") * 2)("release"))
+    assert [(r.deadline, r.ts) for r in shapes.missed(Late, {"in": messages}, {"out": releases}).collect()] == [("quick", 3)]
+    with pytest.raises(ValueError):
+        shapes.missed(shapes.OneInOneOut, {"in": messages}, {"out": releases})
+
+
 def test_graph_and_handles(spark):
     ids = []
     for _ in range(2):

@@ -42,6 +42,6 @@ def test_driver_contract(spark):
 def test_the_chain_runs_over_every_event(spark):
     """One row for each event whose doubled square passes the filter; the ten-row golden covers the example."""
     events = spark.read.parquet(f"{SF}/events.parquet")
-    got = {(r.side, r.t0, r.v) for r in catalogue.QUERIES["full_pipeline_events"](spark, SF).collect()}
+    got = {(r.side, r.t0, r.v) for r in catalogue.QUERIES["full_pipeline"](spark, SF).collect()}
     ids = [r.event_id for r in events.select("event_id").collect()]
     assert len(ids) > 10 and got == {("left" if 2 * i * i < 50 else "right", i, 2 * i * i) for i in ids if 2 * i * i > 10}

@@ -129,7 +129,27 @@ def test_deadlines(spark):
         deadlines.misses(deadlines.Deadline("d", 2.0), *rows_of(spark, table))
 
 
+def test_a_deadline_ends_when_all_outputs_have_released(spark):
+    starts, _ = rows_of(spark, [(1, 0, None), (2, 0, None), (3, 0, None), (4, 0, None)])
+    done = spark.createDataFrame([(1, "a", seconds(1)), (1, "b", seconds(2)), (2, "a", seconds(1)), (2, "b", seconds(3)), (3, "a", seconds(1)), (4, "a", seconds(1)), (4, "c", seconds(1)), (4, "b", seconds(2)), (4, "b", seconds(9))], "ts long, stream string, release string").withColumn("release", F.col("release").cast("timestamp"))
+    limit = deadlines.Deadline("d", 2.0).on_read_stream("in").on_write_stream("a", "b")
+    rows = {r.ts: r for r in deadlines.audit(limit, starts, done).collect()}
+    assert {t: r.missed for t, r in rows.items()} == {1: False, 2: True, 3: True, 4: False} and rows[3].release is None
+    assert deadlines.misses(deadlines.Deadline("d", 2.0).on_read_stream("in").on_write_stream("a"), starts, done).count() == 0
+
+
+def test_a_deadline_is_armed_by_its_streams_only(spark):
+    starts, done = rows_of(spark, [(1, 0, None), (2, 1, None)])
+    starts = starts.withColumn("stream", F.when(F.col("ts") == 1, "left").otherwise("right"))
+    both = deadlines.Deadline("d", 2.0).on_read_stream("left", "right")
+    assert deadlines.audit(both, starts, done, reads=("left", "right")).count() == 2
+    left = deadlines.Deadline("d", 2.0).on_read_stream("left")
+    assert deadlines.audit(left, starts, done, reads=("left", "right")).count() == 0
+    assert [r.ts for r in deadlines.audit(left, starts, done, reads=("left",)).collect()] == [1]
+
+
 def test_loops(spark):
+    assert loops.counter(spark, 200).agg(F.max("data"), F.count("*")).first()[:] == (200, 201)
     assert [tuple(r) for r in loops.counter(spark, 5).orderBy("ts").collect()] == [(i, i) for i in range(6)]
     start = spark.createDataFrame([(0, 0)], "ts long, data long")
     loop = loops.LoopStream(start)

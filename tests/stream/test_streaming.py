@@ -77,6 +77,19 @@ def test_ingest_and_extract(spark, tmp_path):
     assert out.is_closed() and out.read() is None
 
 
+def test_unread_rows_are_bounded(spark, tmp_path):
+    spark.range(500).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = connectors.ExtractStream(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), str(tmp_path / "c"), available_now=True, waiting=10)
+    first = out.read()
+    time.sleep(0.5)
+    assert first is not None and out.rows.qsize() <= 10
+    assert len(list(out)) == 499
+    again = connectors.ExtractStream(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), str(tmp_path / "c2"), waiting=10)
+    again.read()
+    again.stop()
+    assert not again.query.isActive
+
+
 def test_topics(spark, tmp_path):
     rows = [(n, "w" if n % 2 else "d", n, None if n % 2 else f"m{n}") for n in range(6)]
     log = spark.createDataFrame(rows, "seq long, kind string, ts long, data string")

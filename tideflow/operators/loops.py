@@ -32,7 +32,10 @@ def iterate(start: DataFrame, step: Callable[[DataFrame], DataFrame], most: int)
     """
     context = start.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = context.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     rounds, now = [start], start
     for _ in range(most):
         now = step(now).checkpoint(eager=True)
@@ -47,4 +50,4 @@ def iterate(start: DataFrame, step: Callable[[DataFrame], DataFrame], most: int)
 
 def counter(spark: SparkSession, last: int) -> DataFrame:
     """(ts, data): the loop that adds 1 to timestamp and data, from (0, 0), as one recursive query."""
-    return spark.sql(f"WITH RECURSIVE loop(ts, data) AS (SELECT 0L, 0L UNION ALL SELECT ts + 1, data + 1 FROM loop WHERE ts < {int(last)}) SELECT ts, data FROM loop").select(F.col("ts"), F.col("data"))
+    return spark.sql(f"WITH RECURSIVE loop(ts, data) MAX RECURSION LEVEL {int(last) + 1} AS (SELECT 0L, 0L UNION ALL SELECT ts + 1, data + 1 FROM loop WHERE ts < {int(last)}) SELECT ts, data FROM loop").select(F.col("ts"), F.col("data"))

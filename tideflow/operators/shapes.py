@@ -13,6 +13,9 @@ the configuration says otherwise; then the state is committed.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import uuid
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tideflow.functions.messages import DATA, WATERMARK
 from tideflow.functions.timestamps import BOTTOM, TOP, TYPE, Timestamp
+from tideflow.operators import deadlines
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,38 @@ class LateMessage(SendError):
     """Data at or below the stream's watermark, or a watermark below it."""
 
 
+class ReadError(Exception):
+    """A stream that has nothing more to read: it has sent Top."""
+
+
+class TryReadError(ReadError):
+    """As ReadError, of a read that does not wait."""
+
+
+class ReadStream:
+    """An input port inside ``run``: the key's messages in order, taken one at a time."""
+
+    def __init__(self, messages: Iterator):
+        self.messages, self.closed = messages, False
+
+    def is_closed(self) -> bool:
+        return self.closed
+
+    def read(self):
+        """The next Message; the last one is Top, after which reading is an error."""
+        if self.closed:
+            raise ReadError("the stream has sent Top")
+        message = next(self.messages)
+        self.closed = message.is_top_watermark()
+        return message
+
+    def try_read(self):
+        """read() without waiting; in a batch all messages are there."""
+        if self.closed:
+            raise TryReadError("the stream has sent Top")
+        return self.read()
+
+
 class WriteStream:
     """An output port inside an operator: checks the order of what is sent."""
 
@@ -103,6 +139,7 @@ class Context:
     left_write_stream: WriteStream | None = None
     right_write_stream: WriteStream | None = None
     deadlines: list = field(default_factory=list)
+    read_stream: ReadStream | None = None
 
     def current_state(self) -> Any:
         return self.state.at(self.timestamp)
@@ -118,6 +155,7 @@ class Context:
         return self.state.last_committed_timestamp
 
     def add_deadline(self, deadline) -> None:
+        """For setup: ``missed`` audits the deadlines that operators add there."""
         self.deadlines.append(deadline)
 
 
@@ -127,6 +165,8 @@ class Operator:
 
     ports: tuple[str, ...] = ()
     retain: int | None = None
+    #: Whether run() reads the input itself, from context.read_stream; callbacks then see what it left.
+    reads: bool = False
 
     def state(self) -> Any:
         return None
@@ -145,7 +185,7 @@ class Operator:
 
 
 class Sink(Operator):
-    """on_data and on_watermark without output; use foreachBatch or a writer for external effects."""
+    """on_data and on_watermark without output, for external effects: ``run_sink`` and, on streams, ``start_sink``."""
 
     def on_data(self, context: Context, data: Any) -> None:
         pass
@@ -200,7 +240,25 @@ class _Running:
         self.lows: dict[str, Timestamp] = {}
         self.low, self.order = BOTTOM, []
         self.operator.setup(self.context)
+        if not self.operator.reads:
+            self.operator.run(self.context)
+
+    def read(self, messages: Iterator) -> Iterator:
+        """Let run() read; the messages that it left."""
+        from tideflow.functions.messages import Message
+
+        def ended() -> Iterator:
+            top = False
+            for m in messages:
+                top = m.is_top_watermark()
+                yield m
+            if not top:
+                yield Message.new_watermark(TOP)
+
+        self.context.read_stream = ReadStream(ended())
         self.operator.run(self.context)
+        while not self.context.read_stream.is_closed():
+            yield self.context.read_stream.read()
 
     def take(self, side: str, inputs: tuple[str, ...], kind: str, ts: Timestamp, data: Any) -> None:
         if self.low == TOP:
@@ -271,6 +329,19 @@ def connect(make: Callable[[], Operator], *inputs: DataFrame, data_type: str, ke
     dealt = rows.repartition(width if key else 1, "key").sortWithinPartitions("key", "ts", mark, "seq", "side")
     names = ["key", "port", "kind", "ts", "data"]
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For operators whose run() reads: a key's rows are its messages."""
+        from tideflow.functions.messages import Message
+
+        flat = (row for batch in batches for row in batch.itertuples(index=False))
+        for own, rows in itertools.groupby(flat, key=lambda row: row.key):
+            now = _Running(make, config)
+            messages = (Message(Timestamp.of({"k": r.ts["k"], "c": r.ts["c"]}), None if r.kind == WATERMARK else _plain(r.data), r.kind == WATERMARK) for r in rows)
+            for m in now.read(messages):
+                now.take(sides[0], sides, WATERMARK if m.watermark else DATA, m.timestamp, m.data)
+            now.end(sides)
+            yield pd.DataFrame([(own, port, kind, {"k": ts[0], "c": ts[1]}, data) for port, kind, ts, data in now.rows()], columns=names)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, now = None, None
 
@@ -292,18 +363,83 @@ def connect(make: Callable[[], Operator], *inputs: DataFrame, data_type: str, ke
             now.end(sides)
             yield sent(now.rows())
 
-    return dealt.mapInPandas(run, f"key string, port string, kind string, ts {TYPE}, data {data_type}")
+    if example.reads and wanted != 1:
+        raise TypeError("run() reads one input")
+    return dealt.mapInPandas(read if example.reads else run, f"key string, port string, kind string, ts {TYPE}, data {data_type}")
 
 
-def connect_source(spark, source: Source, data_type: str) -> DataFrame:
-    """A driver-side source's messages, ended by Top. For data at scale use ``sources.generated``."""
+def run_sink(make: Callable[[], Sink], df: DataFrame, key: str | None = None, config: OperatorConfig = OperatorConfig()) -> None:
+    """Run a sink for its effects over an envelope frame, once for each key."""
+    connect(make, df, data_type="string", key=key, config=config).write.format("noop").mode("overwrite").save()
+
+
+def start_sink(make: Callable[[], Sink], df: DataFrame, checkpoint: str, key: str | None = None, config: OperatorConfig = OperatorConfig(), **trigger):
+    """Run a sink over a streaming envelope frame, by micro-batches; returns the query.
+
+    Each micro-batch is a log of its own: a sink lives from setup to destroy in it, once a key. A batch
+    that is repeated after a failure has its effects again, so they should be idempotent.
+    """
+    writer = df.writeStream.foreachBatch(lambda batch, epoch: run_sink(make, batch, key, config)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def deadlines_of(make: Callable[[], Operator], config: OperatorConfig = OperatorConfig()) -> list:
+    """The deadlines that an operator adds in its setup."""
+    operator = make()
+    context = Context(config, TimeVersionedState(operator.state))
+    operator.setup(context)
+    return context.deadlines
+
+
+def missed(make: Callable[[], Operator], inputs: dict[str, DataFrame], outputs: dict[str, DataFrame], keys: tuple[str, ...] = ("ts",), config: OperatorConfig = OperatorConfig()) -> DataFrame:
+    """(deadline, keys, start, due, release): the misses of the deadlines that an operator adds in its setup.
+
+    inputs: by stream the messages (keys, seq, arrival, ..); outputs: by stream the releases (keys, release).
+    """
+    messages = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("stream", F.lit(n)) for n, df in inputs.items()])
+    releases = functools.reduce(DataFrame.unionByName, [df.select(*keys, "release", F.lit(n).alias("stream")) for n, df in outputs.items()])
+    found = [deadlines.misses(d, messages, releases, keys, reads=inputs).select(F.lit(d.name).alias("deadline"), *keys, "start", "due", "release") for d in deadlines_of(make, config)]
+    if not found:
+        raise ValueError("the operator adds no deadline")
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def connect_source(spark, source: Source, data_type: str, rows: int = 50_000) -> DataFrame:
+    """A driver-side source's messages, ended by Top; the driver holds ``rows`` of them at a time.
+
+    More than that are written to the session's checkpoint folder as they come.
+    """
     from tideflow.functions.messages import Message, frame
 
-    log = list(source.run())
+    log, last = iter(source.run()), None
+    seq, folder = 0, None
+
+    def messages() -> Iterator:
+        nonlocal last
+        for last in log:
+            yield last
+        if last is None or not last.is_top_watermark():
+            yield Message.new_watermark(TOP)
+
+    stream = messages()
+    part = list(itertools.islice(stream, rows))
+    rest = list(itertools.islice(stream, rows))
+    if rest:
+        context = spark.sparkContext
+        base = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", "")
+        if not base:
+            raise ValueError("a source of many messages needs spark.checkpoint.dir")
+        folder = f"{base}/source-{uuid.uuid4().hex}"
+    while part:
+        now = frame(spark, part, data_type)
+        if folder is None:
+            source.destroy()
+            return now
+        now.withColumn("seq", F.col("seq") + F.lit(seq)).coalesce(1).write.mode("append").parquet(folder)
+        seq += len(part)
+        part, rest = rest, list(itertools.islice(stream, rows))
     source.destroy()
-    if not log or not log[-1].is_top_watermark():
-        log.append(Message.new_watermark(TOP))
-    return frame(spark, log, data_type)
+    return spark.read.parquet(folder)
 
 
 def port(rows: DataFrame, name: str) -> DataFrame:

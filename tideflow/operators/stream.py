@@ -86,6 +86,15 @@ class Stream:
     def filter(self, predicate: Expression) -> Stream:
         return self._next(self.df.where(_value(predicate)), "FilterOp")
 
+    def filter_python(self, predicate: Callable[[Any], bool]) -> Stream:
+        """filter by a Python predicate, in Arrow batches."""
+        return self._next(self.df.where(_python_predicate(predicate)(F.col("data"))), "FilterOp")
+
+    def split_python(self, predicate: Callable[[Any], bool]) -> tuple[Stream, Stream]:
+        """split by a Python predicate; it runs once in each of the two streams' plans."""
+        holds = _python_predicate(predicate)(F.col("data"))
+        return self._next(self.df.where(holds), "SplitOp"), self._next(self.df.where(~holds), "SplitOp")
+
     def split(self, predicate: Expression) -> tuple[Stream, Stream]:
         """(rows where the predicate holds, the others); a null predicate goes right, so nothing is lost."""
         holds = F.coalesce(_value(predicate), F.lit(False))
@@ -135,6 +144,13 @@ class Stream:
         return tuple(self for _ in range(times))
 
 
+def _python_predicate(predicate: Callable[[Any], bool]):
+    def part(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: bool(predicate(v))).astype(bool)
+
+    return F.pandas_udf(part, "boolean")
+
+
 def to_variant(column: Column) -> Column:
     """A payload of any type as VARIANT."""
     return F.variant_get(F.to_variant_object(F.struct(column.alias("v"))), "$.v", "variant")

@@ -20,16 +20,22 @@ from tideflow.functions.messages import is_data, is_watermark
 BUCKET = 100_000
 
 
-def running_maximum(df: DataFrame, value: Column, name: str, stream: Sequence[str] = (), bucket: int = BUCKET, inclusive: bool = False) -> DataFrame:
-    """df with the maximum of ``value`` over the stream's earlier rows (and the row itself if inclusive)."""
-    rows = df.withColumn("__bucket", F.floor(F.col("seq") / F.lit(bucket)).cast("bigint")).withColumn("__value", value)
+def running_maxima(df: DataFrame, values: dict[str, Column], stream: Sequence[str] = (), bucket: int = BUCKET, inclusive: bool = False) -> DataFrame:
+    """df with, by name, the maximum of each value over the stream's earlier rows (and the row itself if inclusive), in one pass."""
+    held = {name: f"__value_{k}" for k, name in enumerate(values)}
+    rows = df.withColumns({"__bucket": F.floor(F.col("seq") / F.lit(bucket)).cast("bigint")} | {held[n]: v for n, v in values.items()})
     keys = [*stream, "__bucket"]
-    sums = rows.groupBy(*keys).agg(F.max("__value").alias("__most"))
+    sums = rows.groupBy(*keys).agg(*[F.max(h).alias(f"{h}_most") for h in held.values()])
     before = Window.partitionBy(*stream).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, F.max("__most").over(before).alias("__before"))
+    sums = sums.select(*keys, *[F.max(f"{h}_most").over(before).alias(f"{h}_before") for h in held.values()])
     inside = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = _null_safe(rows, sums, keys)
-    return joined.withColumn(name, F.greatest("__before", F.max("__value").over(inside))).drop("__bucket", "__value", "__before")
+    joined = _null_safe(rows, sums, keys).withColumns({n: F.greatest(f"{h}_before", F.max(h).over(inside)) for n, h in held.items()})
+    return joined.drop("__bucket", *held.values(), *[f"{h}_before" for h in held.values()])
+
+
+def running_maximum(df: DataFrame, value: Column, name: str, stream: Sequence[str] = (), bucket: int = BUCKET, inclusive: bool = False) -> DataFrame:
+    """df with the maximum of ``value`` over the stream's earlier rows (and the row itself if inclusive)."""
+    return running_maxima(df, {name: value}, stream, bucket, inclusive)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,8 +75,7 @@ def minimum(df: DataFrame, inputs: Sequence[str], input_column: str = "input", s
     """
     rows = df.where(is_watermark())
     names = [f"__low_{k}" for k in range(len(inputs))]
-    for name, value in zip(names, inputs):
-        rows = running_maximum(rows, F.when(F.col(input_column) == F.lit(value), F.col("ts")), name, stream, bucket, inclusive=True)
+    rows = running_maxima(rows, {name: F.when(F.col(input_column) == F.lit(value), F.col("ts")) for name, value in zip(names, inputs)}, stream, bucket, inclusive=True)
     all_known = F.lit(True)
     for name in names:
         all_known = all_known & F.col(name).isNotNull()

@@ -154,11 +154,11 @@ def linq_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides[0].unionByName(sides[1]).groupBy("side", "bucket").agg(F.count("*").alias("n"), F.sum("data").alias("total"))
 
 
-@registered("""WITH x AS (SELECT event_id % 10 AS t0, unnest(range(0, 10))::BIGINT AS v FROM events WHERE event_id < 10), s AS (SELECT t0 * t0 * 2 AS v, t0 FROM x WHERE v = 0)
+@registered("""WITH s AS (SELECT event_id AS t0, event_id * event_id * 2 AS v FROM events)
     SELECT CASE WHEN v < 50 THEN 'left' ELSE 'right' END AS side, t0, v FROM s WHERE v > 10""")
 def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chain over the ten messages of the reference's example."""
-    return _square_chain(table(spark, sf_dir, "events").where("event_id < 10"))
+    """The square, double, filter and split chain over all events."""
+    return _square_chain(table(spark, sf_dir, "events"))
 
 
 def _square_chain(rows: DataFrame) -> DataFrame:
@@ -169,10 +169,12 @@ def _square_chain(rows: DataFrame) -> DataFrame:
 
 
 @registered("""WITH s AS (SELECT event_id AS t0, event_id * event_id * 2 AS v FROM events)
-    SELECT CASE WHEN v < 50 THEN 'left' ELSE 'right' END AS side, t0, v FROM s WHERE v > 10""")
+    SELECT CASE WHEN v % 3 = 0 THEN 'left' ELSE 'right' END AS side, t0, v FROM s WHERE v % 5 <> 0""")
 def full_pipeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chain of full_pipeline over all events."""
-    return _square_chain(table(spark, sf_dir, "events"))
+    """The chain with Python predicates: filter and split in Arrow batches."""
+    source = Stream(table(spark, sf_dir, "events").select(timestamps.time("event_id").alias("ts"), F.col("event_id").alias("data")))
+    left, right = source.map(lambda x: x * x * 2).filter_python(lambda v: v % 5 != 0).split_python(lambda v: v % 3 == 0)
+    return left.df.withColumn("side", F.lit("left")).unionByName(right.df.withColumn("side", F.lit("right"))).select("side", timestamps.coordinate("ts", 0).alias("t0"), F.col("data").alias("v"))
 
 
 @registered("""WITH e AS (SELECT user_id AS u, floor(epoch(ts) / 86400)::BIGINT AS d, event_id, floor(event_id / 1000)::BIGINT AS b FROM events)
@@ -292,6 +294,45 @@ def deadline_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deadlines.misses(limit, *_deadline_tables(spark, sf_dir)).select("ts", F.col("release").isNull().alias("never"))
 
 
+class _Ship(shapes.TwoInOneOut):
+    def setup(self, context):
+        context.add_deadline(deadlines.Deadline("both", F.expr("INTERVAL 45 DAYS")).on_read_stream("urgent", "other").on_write_stream("even", "odd"))
+        context.add_deadline(deadlines.Deadline("unarmed", F.expr("INTERVAL 1 DAYS")).on_read_stream("urgent").on_write_stream("even"))
+
+
+@registered("""WITH r AS (SELECT l_orderkey, min(l_shipdate) FILTER (l_linenumber % 2 = 0) AS even, min(l_shipdate) FILTER (l_linenumber % 2 = 1) AS odd FROM lineitem GROUP BY 1)
+    SELECT 'both' AS deadline, o_orderkey AS ts, even IS NULL OR odd IS NULL AS never FROM orders LEFT JOIN r ON l_orderkey = o_orderkey
+    WHERE even IS NULL OR odd IS NULL OR greatest(even, odd) > o_orderdate + INTERVAL 45 DAY""")
+def deadline_all_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deadlines of an operator with two inputs: one ends when both outputs have released; one constrains a single input and never starts."""
+    starts, _ = _deadline_tables(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ts"), F.col("l_shipdate").alias("release"), F.col("l_linenumber").alias("n"))
+    urgent = F.col("priority").startswith("1")
+    inputs = {"urgent": starts.where(urgent), "other": starts.where(~urgent)}
+    outputs = {"even": lines.where("n % 2 = 0"), "odd": lines.where("n % 2 = 1")}
+    return shapes.missed(_Ship, inputs, outputs).select("deadline", "ts", F.col("release").isNull().alias("never"))
+
+
+class _Largest(shapes.OneInOneOut):
+    """run() reads its input itself and sends the largest value at the last timestamp."""
+
+    reads = True
+
+    def run(self, context):
+        most, last = None, None
+        while not context.read_stream.is_closed():
+            message = context.read_stream.read()
+            if not message.watermark:
+                last, most = message.timestamp, message.data if most is None else max(most, message.data)
+        context.write_stream.send(last, most)
+
+
+@registered("SELECT user_id::VARCHAR AS key, max(" + HOUR + ") AS t0, max(event_id % 10)::BIGINT AS data FROM events GROUP BY ALL")
+def read_in_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shapes.connect(_Largest, _user_log(spark, sf_dir), data_type="bigint", key="key")
+    return out.where("kind = 'd'").select("key", timestamps.coordinate("ts", 0).alias("t0"), "data")
+
+
 @registered("WITH RECURSIVE loop(ts, data) AS (SELECT 0::BIGINT, 0::BIGINT UNION ALL SELECT ts + 1, data + 1 FROM loop WHERE ts < 50) SELECT ts, data FROM loop")
 def loop_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loops.counter(spark, 50)
@@ -323,10 +364,10 @@ class _HourSum(shapes.OneInOneOut):
 
 def _user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events")
-    return df.select((F.col("user_id") % 16).alias("key"), F.col("event_id").alias("seq"), F.lit("d").alias("kind"), timestamps.time(hour()).alias("ts"), (F.col("event_id") % 10).alias("data"))
+    return df.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.lit("d").alias("kind"), timestamps.time(hour()).alias("ts"), (F.col("event_id") % 10).alias("data"))
 
 
-@registered("SELECT (user_id % 16)::VARCHAR AS key, " + HOUR + " AS t0, sum(event_id % 10)::BIGINT AS data FROM events GROUP BY ALL")
+@registered("SELECT user_id::VARCHAR AS key, " + HOUR + " AS t0, sum(event_id % 10)::BIGINT AS data FROM events GROUP BY ALL")
 def one_in_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shapes.connect(_HourSum, _user_log(spark, sf_dir), data_type="bigint", key="key")
     return out.where("kind = 'd'").select("key", timestamps.coordinate("ts", 0).alias("t0"), "data")
@@ -347,10 +388,10 @@ class _Both(shapes.TwoInOneOut):
     on_watermark = _HourSum.on_watermark
 
 
-@registered("SELECT (user_id % 16)::VARCHAR AS key, " + HOUR + " AS t0, sum(CASE WHEN event_type = 'click' THEN event_id % 10 ELSE -(event_id % 10) END)::BIGINT AS data FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL")
+@registered("SELECT user_id::VARCHAR AS key, " + HOUR + " AS t0, sum(CASE WHEN event_type = 'click' THEN event_id % 10 ELSE -(event_id % 10) END)::BIGINT AS data FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL")
 def two_in_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events")
-    sides = [df.where(F.col("event_type") == k).select((F.col("user_id") % 16).alias("key"), F.col("event_id").alias("seq"), F.lit("d").alias("kind"), timestamps.time(hour()).alias("ts"), (F.col("event_id") % 10).alias("data")) for k in ("click", "view")]
+    sides = [df.where(F.col("event_type") == k).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.lit("d").alias("kind"), timestamps.time(hour()).alias("ts"), (F.col("event_id") % 10).alias("data")) for k in ("click", "view")]
     return shapes.connect(_Both, *sides, data_type="bigint", key="key").where("kind = 'd'").select("key", timestamps.coordinate("ts", 0).alias("t0"), "data")
 
 
@@ -359,7 +400,7 @@ class _Parity(shapes.OneInTwoOut):
         (context.left_write_stream if data % 2 == 0 else context.right_write_stream).send(context.timestamp, data)
 
 
-@registered("SELECT CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS port, (user_id % 16)::VARCHAR AS key, " + HOUR + " AS t0, event_id % 10 AS data FROM events")
+@registered("SELECT CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS port, user_id::VARCHAR AS key, " + HOUR + " AS t0, event_id % 10 AS data FROM events")
 def one_in_two_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shapes.connect(_Parity, _user_log(spark, sf_dir), data_type="bigint", key="key")
     return out.where("kind = 'd'").select("port", "key", timestamps.coordinate("ts", 0).alias("t0"), "data")

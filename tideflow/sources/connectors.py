@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import queue
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -131,18 +132,32 @@ class IngestStream:
 
 
 class ExtractStream:
-    """The driver pulls what a query produces: read() blocks, try_read() does not."""
+    """The driver pulls what a query produces: read() blocks, try_read() does not.
 
-    def __init__(self, df: DataFrame, checkpoint: str, available_now: bool = False, name: str | None = None):
-        self.rows: queue.Queue = queue.Queue()
+    At most ``waiting`` unread rows are held; the query waits for the reader beyond that.
+    """
+
+    def __init__(self, df: DataFrame, checkpoint: str, available_now: bool = False, name: str | None = None, waiting: int = 1024):
+        self.rows: queue.Queue = queue.Queue(waiting)
+        self.stopped = threading.Event()
 
         def put(batch: DataFrame, epoch: int) -> None:
             for row in batch.toLocalIterator():
-                self.rows.put(row)
+                while not self.stopped.is_set():
+                    try:
+                        self.rows.put(row, timeout=0.1)
+                        break
+                    except queue.Full:
+                        continue
 
         writer = df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).queryName(name or f"extract_{uuid.uuid4().hex}")
         self.query = (writer.trigger(availableNow=True) if available_now else writer).start()
 
+    def stop(self) -> None:
+        """Give up the rest: a query that waits for the reader goes on and ends."""
+        self.stopped.set()
+        self.query.stop()
+
     def is_closed(self) -> bool:
         return not self.query.isActive and self.rows.empty()
 

@@ -2,8 +2,8 @@
 
 Spark's own watermark is the largest event time less a delay, one batch late; a program's explicit
 watermark needs state of its own. Each stream key holds its watermark and the data it still has to
-close; rows of a micro-batch are taken in order of seq. State is in RocksDB, so the open data of a
-key need not fit in memory.
+close; rows of a micro-batch are taken in order of seq. State is in RocksDB, a map with an
+entry for each open timestamp, so a task holds the data of one timestamp, not all open data of a key.
 """
 
 from __future__ import annotations
@@ -25,31 +25,36 @@ class CloseBatches(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.low = handle.getValueState("low", "ts long")
-        self.open = handle.getListState("open", "ts long, data double")
+        self.open = handle.getMapState("open", "ts long", "data array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
         low = self.low.get()[0] if self.low.exists() else None
-        waiting = [tuple(r) for r in self.open.get()]
-        out = []
+        columns, late, new = ["stream", "batch", "ts", "data"], [], {}
+
+        def kept() -> None:
+            for ts, data in new.items():
+                old = list(self.open.getValue((ts,))[0]) if self.open.containsKey((ts,)) else []
+                self.open.updateValue((ts,), (old + data,))
+            new.clear()
+
         for kind, ts, data in zip(batch.kind, batch.ts, batch.data):
             ts = int(ts)
             if kind == "d":
                 if low is not None and ts <= low:
-                    out.append((key[0], -1, ts, data))
+                    late.append((key[0], -1, ts, data))
                 else:
-                    waiting.append((ts, float(data)))
+                    new.setdefault(ts, []).append(float(data))
             elif low is None or ts > low:
                 low = ts
-                out += [(key[0], ts, t, d) for t, d in waiting if t <= ts]
-                waiting = [(t, d) for t, d in waiting if t > ts]
+                kept()
+                for at in sorted(k[0] for k in self.open.keys() if k[0] <= ts):
+                    yield pd.DataFrame([(key[0], ts, at, d) for d in self.open.getValue((at,))[0]], columns=columns)
+                    self.open.removeKey((at,))
+        kept()
         if low is not None:
             self.low.update((low,))
-        if waiting:
-            self.open.put(waiting)
-        else:
-            self.open.clear()
-        yield pd.DataFrame(out, columns=["stream", "batch", "ts", "data"])
+        yield pd.DataFrame(late, columns=columns)
 
     def close(self) -> None:
         pass
