@@ -1,5 +1,7 @@
 """Held-out accuracy, defined results, and what the scores may depend on."""
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -45,6 +47,48 @@ def test_short_toxic_words_are_seen_alone():
     assert (model.score(toxic, gains) >= 0.5).all() and (model.score([text(n) for n in (3, 10, 60, 600)], gains) < 0.5).all()
 
 
+def test_features_of_one_document_by_hand():
+    """Every window of a text compressed here, one by one: lengths, covered windows, counts, and the mean of the windows of eight words."""
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("aeinorstlm"), 6)) for _ in range(200)]
+    rows = [(i, " ".join(rng.permutation([*rng.choice(plain, 40), *(["gulker", "drogg"] if i % 2 else [])])), i % 2) for i in range(400)]
+    model = toxicity.fit(pd.DataFrame(rows, columns=["id", "text", "label"]), toxicity.Settings())
+    level = model.settings.level
+    one, two = toxicity.compressor(model.ordinary, level), toxicity.compressor(model.ordinary + model.toxic, level)
+    for text in (rows[1][1], rows[2][1], "Gulker!", "a " * 30 + "drogg"):
+        words = text.lower().replace("!", "").split()
+        saved, length = [], []
+        for w in words:
+            window = toxicity.LEAD + b" " + w.encode() + b" " + toxicity.TAIL
+            saved.append(len(one(window)) - len(two(window)))
+            length.append(len(two(window)))
+        covered = [g if n <= model.whole else 0 for g, n in zip(saved, length)]
+        of_class = [toxicity.compressor(x, level, 0) for x in model.classes]
+        leaning = [len(of_class[0](w)) - len(of_class[1](w)) for w in (f" {' '.join(words[i : i + 8])} ".encode() for i in range(0, len(words), 8))]
+        top = [*sorted(covered, reverse=True)[:2], 0][:2]
+        want = [np.log1p(len(words)), np.mean(saved), np.mean(covered), *top]
+        counts = [sum(x >= g for x in xs) for xs in (saved, covered) for g in toxicity.GAINS]
+        want += [*np.log1p(counts), *[min(c / len(words), model.settings.most_share) for c in counts], np.mean(leaning)]
+        assert np.allclose(model.features([text], model.gains())[0], want)
+
+
+def test_a_repeated_labelled_row_is_one_training_row(spark):
+    docs = spark.createDataFrame([(1, "b")] * 500 + [(1, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    got = sorted((r.id, r.text) for r in training_rows(docs, labels, "toxic", 10).collect())
+    assert got == [(i, t) for i, t in ((1, "a"), (2, ""), (3, "c")) if zlib.crc32(str(i).encode()) % 5]
+
+
+def test_a_score_does_not_depend_on_its_batch(tables):
+    docs, labels = tables
+    model = quality.train(docs, labels)
+    texts = [r.text for r in docs.limit(60).collect()]
+    buckets = quality.Buckets(model.settings.word_buckets)
+    together = model.margin(*model.design(texts, buckets))
+    alone = [model.margin(*model.design([t], buckets))[0] for t in texts]
+    assert together.tolist() == alone
+
+
 @pytest.mark.parametrize("target", list(OPERATORS))
 def test_only_the_text_and_training_labels_count(spark, tables, target):
     docs, labels = tables

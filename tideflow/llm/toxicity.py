@@ -1,12 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on the parts of toxic text
-that recur there and are rare in ordinary text. A document is cut into windows of ``window_words``
-words; each window is compressed once with the ordinary dictionary and once with the ordinary
-dictionary followed by the toxic one. The bytes that the toxic dictionary saves, in all windows and
-in those that it covers whole (their compressed length is that of most of its own words), are
-counted at several thresholds over the whole text and calibrated to a probability on labelled rows
-that neither dictionary has seen.
+A document is cut into windows of several words. Two zstandard dictionaries, trained on whole windows
+of ordinary and of toxic text, compress each window, and the mean difference of the lengths is a feature.
+A toxic text is mostly ordinary words, so that this alone tells little (the README has figures). Therefore a second pair looks at windows of one word: the
+ordinary dictionary against the same one followed by a dictionary of the parts of toxic text that recur
+there and are rare in ordinary text. The bytes that this saves, in all windows and in those that it
+covers whole (their compressed length is that of most of its own words), are counted at several
+thresholds over the whole text. All features are calibrated to a probability on labelled rows that no
+dictionary has seen.
 
 Defined results: a null text is the empty text and is scored like it; repeated rows get equal
 scores; with no labelled row of one class the score is that of the other class (0 or 1 for a
@@ -41,12 +42,14 @@ TAIL = bytes(range(128, 137))
 class Settings:
     """most: labelled rows of each class that are fitted on. toxic_weight: a toxic row's weight in the calibration.
     most_share: shares of a text's windows count up to this, so that very short texts are not off the scale.
+    class_bytes: size of each of the two dictionaries for windows of ordinary_window_words words.
     toxic_bytes: least size of the toxic dictionary, which grows with its words. most_samples: windows of the bounded
     training rows that the ordinary dictionary is trained on, drawn at random from all of them."""
 
     window_words: int = 1
     ordinary_window_words: int = 8
     ordinary_bytes: int = 16384
+    class_bytes: int = 16384
     toxic_bytes: int = 4096
     level: int = 13
     least_contexts: int = 3
@@ -54,7 +57,7 @@ class Settings:
     most: int = 2000
     most_samples: int = 30000
     toxic_weight: float = 2.0
-    ridge: float = 1.0
+    ridge: float = 3.0
     most_share: float = 0.05
     threshold: float = 0.5
 
@@ -76,12 +79,12 @@ def surroundings(texts: list[str]) -> Counter:
     return Counter(w for _, w, _ in around)
 
 
-def compressor(content: bytes, level: int):
-    """Compresses one window with a raw-content dictionary; no header bytes that all windows share."""
+def compressor(content: bytes, level: int, kind: int = zstandard.DICT_TYPE_RAWCONTENT):
+    """Compresses one window with a dictionary; no header bytes that all windows share."""
     parameters = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     if not content:
         return zstandard.ZstdCompressor(compression_params=parameters).compress
-    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    dictionary = zstandard.ZstdCompressionDict(content, dict_type=kind)
     dictionary.precompute_compress(compression_params=parameters)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress
 
@@ -89,9 +92,14 @@ def compressor(content: bytes, level: int):
 class Gains(dict):
     """window -> (bytes that the toxic dictionary saves, compressed length with it); forgets all at half a million windows."""
 
-    def __init__(self, plain, marked):
+    def __init__(self, plain, marked, of_class):
         super().__init__()
-        self.plain, self.marked = plain, marked
+        self.plain, self.marked, self.of_class = plain, marked, of_class
+
+    def leanings(self, cut: list[bytes]) -> np.ndarray:
+        """By window of several words: how much shorter the toxic class's dictionary makes it."""
+        ordinary, toxic = self.of_class
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in cut])
 
     def __missing__(self, window: bytes) -> tuple[int, int]:
         if len(self) >= 500_000:
@@ -114,20 +122,25 @@ class Model:
     settings: Settings
     ordinary: bytes = b""
     toxic: bytes = b""
+    classes: tuple[bytes, bytes] = (b"", b"")  # trained on windows of several words, ordinary and toxic
     whole: int = 0  # compressed length of a window that the toxic dictionary covers
     calibration: tuple | None = None
     constant: float | None = None
 
     def gains(self) -> Gains:
-        return Gains(compressor(self.ordinary, self.settings.level), compressor(self.ordinary + self.toxic, self.settings.level))
+        level, kind = self.settings.level, zstandard.DICT_TYPE_AUTO
+        of_class = [compressor(x, level, kind) for x in self.classes]
+        return Gains(compressor(self.ordinary, level), compressor(self.ordinary + self.toxic, level), of_class)
 
     def features(self, texts: list[str], gains: Gains) -> np.ndarray:
         n = len(GAINS)
-        rows = np.zeros((len(texts), 5 + 4 * n))
+        rows = np.zeros((len(texts), 6 + 4 * n))
         for k, text in enumerate(texts):
-            cut = windows(words_of(text), self.settings.window_words, LEAD, TAIL)
+            words = words_of(text)
+            cut = windows(words, self.settings.window_words, LEAD, TAIL)
             if not cut:
                 continue
+            rows[k, -1] = gains.leanings(windows(words, self.settings.ordinary_window_words)).mean()
             gain, length = np.array([gains[w] for w in cut]).T
             covered = np.where(length <= self.whole, gain, 0)
             top = np.sort(covered)[::-1][:2]
@@ -135,7 +148,7 @@ class Model:
             rows[k, 3 : 3 + len(top)] = top
             counts = np.array([(x >= g).sum() for x in (gain, covered) for g in GAINS])
             rows[k, 5 : 5 + 2 * n] = np.log1p(counts)
-            rows[k, 5 + 2 * n :] = np.minimum(counts / len(cut), self.settings.most_share)
+            rows[k, 5 + 2 * n : 5 + 4 * n] = np.minimum(counts / len(cut), self.settings.most_share)
         return rows
 
     def score(self, texts: list[str], gains: Gains) -> np.ndarray:
@@ -150,9 +163,13 @@ def fit(rows: pd.DataFrame, settings: Settings) -> Model:
     if min(map(len, classes)) < 2:
         return Model(settings, constant=float(len(classes[1]) > 0 and len(classes[0]) == 0))
     (ordinary, clean), (toxic, bad) = ((c[::2], c[1::2]) for c in classes)
-    samples = [w for text in ordinary for w in windows(words_of(text), settings.ordinary_window_words)]
-    order = np.random.default_rng(0).permutation(len(samples))[: settings.most_samples]
-    base = LEAD + trained([samples[i] for i in order], settings.ordinary_bytes, settings.level)
+    samples = []
+    for texts in (ordinary, toxic):
+        cut = [w for text in texts for w in windows(words_of(text), settings.ordinary_window_words)]
+        samples.append([cut[i] for i in np.random.default_rng(0).permutation(len(cut))[: settings.most_samples]])
+    least = min(map(len, samples))  # as much text of either class, so that neither dictionary knows more words
+    of_class = tuple(trained(x[:least], settings.class_bytes, settings.level) for x in samples)
+    base = LEAD + trained(samples[0], settings.ordinary_bytes, settings.level)
     seen = [surroundings(texts) for texts in (ordinary, toxic)]
     total = [max(1, sum(s.values())) for s in seen]
     least = max(2, min(settings.least_contexts, len(toxic) // 4))
@@ -163,11 +180,11 @@ def fit(rows: pd.DataFrame, settings: Settings) -> Model:
         copies = marks * (1 + 4 * size // sum(map(len, marks)))
         learned = trained(copies, size, settings.level)
         # the trainer leaves out words that lie close to others; they stand before what it chose
-        model = Model(settings, base, b"".join(x for x in dict.fromkeys(marks) if x not in learned) + learned)
+        model = Model(settings, base, b"".join(x for x in dict.fromkeys(marks) if x not in learned) + learned, of_class)
         lengths = Counter(length for _, length in map(model.gains().__getitem__, (LEAD + x + TAIL for x in dict.fromkeys(marks))))
         model = replace(model, whole=lengths.most_common(1)[0][0])
     else:
-        model = Model(settings, base)
+        model = Model(settings, base, b"", of_class)
     x = model.features(clean + bad, model.gains())
     y = np.r_[np.zeros(len(clean)), np.ones(len(bad))]
     plain, marked = class_rates(rows)
@@ -181,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; the model is some 20 KB."""
+    """(doc_id, held_out, score, predicted) of every row; the model is some 60 KB."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
