@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from tideflow.llm import suffix_dedup as sd
 
 
+def brute_kept(texts, length):
+    """The bytes that are left of each text."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        gone = {k for i in range(len(d) - length + 1) if seen[d[i : i + length]] > 1 for k in range(i, i + length)}
+        out.append(bytes(b for k, b in enumerate(d) if k not in gone))
+    return out
+
+
 def brute(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,13 +41,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The tables of ``written`` that are still there.
+_tables: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder: smaller than a checkpoint's rows, and read by column."""
+    """Cut the lineage by a Parquet table in the shared folder: smaller than a checkpoint's rows, and read by column.
+
+    The table stays, as the frame that reads it is not yet computed, unless it is made inside ``scratch``.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``written`` makes inside; what is computed from them must be written inside too."""
+    before = len(_tables)
+    yield
+    while len(_tables) > before:
+        deleted(spark, _tables.pop())
+
+
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
