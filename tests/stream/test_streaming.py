@@ -132,6 +132,46 @@ def test_timers(spark, tmp_path):
     assert (2, True) in [tuple(r) for r in rows]
 
 
+def test_timer_conditions(spark, tmp_path):
+    """Two messages start a deadline, both outputs end it, and its duration comes from its messages."""
+    folder, schema = str(tmp_path / "in"), "ts long, stream string, kind string, wait long"
+
+    def send(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+    send((1, "in", "d", 3000), (1, "in", "d", 3000), (2, "in", "d", 3000), (3, "in", "d", 3000), (3, "in", "d", 3000), (4, "in", "d", 600_000), (4, "in", "d", 600_000))
+    rows = []
+    stream = punctuated.deadline_timers(connectors.replayed(spark, folder, schema), lambda batch: int(batch.wait.max()), ["in"], ["a", "b"], starts=lambda seen: seen.get("in", (0, False))[0] >= 2)
+    query = stream.writeStream.outputMode("append").trigger(processingTime="500 milliseconds").option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda b, _: rows.extend(b.collect())).start()
+    try:
+        until = time.time() + 60
+        while not query.recentProgress and time.time() < until:
+            time.sleep(0.1)
+        send((1, "a", "w", 0), (3, "a", "w", 0), (3, "b", "w", 0))
+        while not rows and time.time() < until:
+            time.sleep(0.1)
+        time.sleep(2)
+    finally:
+        query.stop()
+    missed = {r.ts for r in rows}
+    assert 1 in missed and not missed & {2, 4}
+
+
+def test_ingest_of_coordinates(spark, tmp_path):
+    at = timestamps.Timestamp
+    ingest = connectors.IngestStream(spark, str(tmp_path / "ingest"), "long", coordinates=True)
+    ingest.send(at((1, 5)), 10)
+    ingest.send_watermark(at((1, 5)))
+    with pytest.raises(LateMessage):
+        ingest.send(at((1, 4)), 1)
+    ingest.send(at((2,)), 20)
+    ingest.close()
+    with pytest.raises(StreamClosed):
+        ingest.send(at((9,)), 1)
+    got = connectors.ExtractStream(ingest.stream(), str(tmp_path / "c"), available_now=True)
+    assert sorted((r.seq, r.kind, r.ts.k, r.ts.c, r.data) for r in got) == [(0, "d", 0, [1, 5], 10), (1, "w", 0, [1, 5], None), (2, "d", 0, [2], 20), (3, "w", 1, None, None)]
+
+
 def test_profiles(spark, tmp_path):
     trace = profiling.Trace()
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from tideflow.functions import timestamps
 from tideflow.operators.shapes import LateMessage, StreamClosed
 
 
@@ -86,27 +87,29 @@ class IngestStream:
     """The driver pushes messages into a folder that a streaming query watches.
 
     Messages before ``start`` wait in the buffer. ``flush`` writes a file, which is one micro-batch's
-    input; order and lateness are checked as they are sent.
+    input; order and lateness are checked as they are sent. Timestamps are longs or, with ``coordinates``,
+    Timestamp values of any number of coordinates, as in all envelope frames.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, data_type: str):
+    def __init__(self, spark: SparkSession, folder: str, data_type: str, coordinates: bool = False):
         self.spark, self.folder, self.low, self.seq, self.buffer = spark, folder, None, 0, []
-        self.schema = T.StructType.fromDDL(f"seq bigint, kind string, ts bigint, data {data_type}")
+        self.coordinates, self.top = coordinates, timestamps.TOP if coordinates else self.TOP
+        self.schema = T.StructType.fromDDL(f"seq bigint, kind string, ts {timestamps.TYPE if coordinates else 'bigint'}, data {data_type}")
         os.makedirs(folder, exist_ok=True) if "://" not in folder else None
 
     TOP = (1 << 63) - 1
 
     def is_closed(self) -> bool:
-        return self.low == self.TOP
+        return self.low is not None and self.low == self.top
 
-    def send(self, ts: int, data: Any) -> None:
+    def send(self, ts: int | timestamps.Timestamp, data: Any) -> None:
         if self.is_closed():
             raise StreamClosed(self.folder)
         if self.low is not None and ts <= self.low:
             raise LateMessage(f"data at {ts} after watermark {self.low}")
         self._add("d", ts, data)
 
-    def send_watermark(self, ts: int) -> None:
+    def send_watermark(self, ts: int | timestamps.Timestamp) -> None:
         if self.is_closed():
             raise StreamClosed(self.folder)
         if self.low is not None and ts < self.low:
@@ -115,11 +118,11 @@ class IngestStream:
         self._add("w", ts, None)
 
     def close(self) -> None:
-        self.send_watermark(self.TOP)
+        self.send_watermark(self.top)
         self.flush()
 
-    def _add(self, kind: str, ts: int, data: Any) -> None:
-        self.buffer.append((self.seq, kind, ts, data))
+    def _add(self, kind: str, ts: int | timestamps.Timestamp, data: Any) -> None:
+        self.buffer.append((self.seq, kind, ts.row() if self.coordinates else ts, data))
         self.seq += 1
 
     def flush(self) -> None:

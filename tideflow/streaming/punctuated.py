@@ -8,10 +8,11 @@ entry for each open timestamp, so a task holds the data of one timestamp, not al
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -60,34 +61,49 @@ class CloseBatches(StatefulProcessor):
         pass
 
 
+Seen = dict[str, tuple[int, bool]]
+
+
 class Timers(StatefulProcessor):
-    """Processing-time deadlines: data arms its timestamp's timer, a watermark of the timestamp or later
-    disarms it, and the handler's row (ts, missed) comes out when a timer fires first.
+    """Processing-time deadlines. A timestamp's timer is armed when ``starts`` first holds and disarmed when
+    ``ends`` does; the handler's row (ts, missed) comes out when it fires first.
 
-    Resolution is the trigger interval; ``deadlines.audit`` is exact.
+    Both see what has come for the timestamp so far: by stream the number of messages, and whether its
+    watermark is out. By default data on one of the read streams starts a deadline, and the watermarks of
+    all write streams end it. The duration may depend on the messages that start it. Resolution is the
+    trigger interval; ``deadlines.audit`` is exact.
     """
 
-    def __init__(self, milliseconds: int):
+    def __init__(self, milliseconds: int | Callable[[pd.DataFrame], int], reads: Sequence[str], writes: Sequence[str], starts: Callable[[Seen], bool] | None = None, ends: Callable[[Seen], bool] | None = None):
         self.milliseconds = milliseconds
+        self.starts = starts or (lambda seen: any(seen.get(s, (0, False))[0] for s in reads))
+        self.ends = ends or (lambda seen: all(seen.get(s, (0, False))[1] for s in writes))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.armed = handle.getValueState("armed", "due long")
+        self.seen = handle.getMapState("seen", "stream string", "messages long, watermark boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
-        if (batch.kind == "w").any():
-            if self.armed.exists():
-                self.handle.deleteTimer(self.armed.get()[0])
-            self.armed.update((-1,))
-        elif not self.armed.exists():
-            due = timerValues.getCurrentProcessingTimeInMs() + self.milliseconds
+        for (stream, kind), n in batch.groupby(["stream", "kind"]).size().items():
+            messages, watermark = self.seen.getValue((stream,)) if self.seen.containsKey((stream,)) else (0, False)
+            self.seen.updateValue((stream,), (int(messages) + int(n) * (kind == "d"), bool(watermark or kind == "w")))
+        seen = {k[0]: (int(v[0]), bool(v[1])) for k, v in self.seen.iterator()}
+        due = self.armed.get()[0] if self.armed.exists() else None
+        if self.ends(seen):
+            if due is not None and due >= 0:
+                self.handle.deleteTimer(due)
+            self.armed.update((-1,))  # ended: later messages of the timestamp start nothing
+        elif due is None and self.starts(seen):
+            lasts = self.milliseconds(batch) if callable(self.milliseconds) else self.milliseconds
+            due = timerValues.getCurrentProcessingTimeInMs() + int(lasts)
             self.handle.registerTimer(due)
             self.armed.update((due,))
         yield pd.DataFrame({"ts": [], "missed": []}).astype({"ts": "int64", "missed": "bool"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.armed.clear()
+        self.armed.update((-1,))
         yield pd.DataFrame({"ts": [int(key[0])], "missed": [True]})
 
     def close(self) -> None:
@@ -104,7 +120,18 @@ def closed_batches(df: DataFrame, stream: str = "stream") -> DataFrame:
     return df.groupBy(stream).transformWithStateInPandas(CloseBatches(), "stream string, batch long, ts long, data double", "Append", "None")
 
 
-def deadline_timers(df: DataFrame, milliseconds: int) -> DataFrame:
-    """df: ts long, kind, as a streaming frame; rows (ts, missed) when a timestamp's deadline passes."""
+def deadline_timers(
+    df: DataFrame,
+    milliseconds: int | Callable[[pd.DataFrame], int],
+    reads: Sequence[str] = ("in",),
+    writes: Sequence[str] = ("in",),
+    starts: Callable[[Seen], bool] | None = None,
+    ends: Callable[[Seen], bool] | None = None,
+) -> DataFrame:
+    """df: ts long, kind, and stream if there are several, as a streaming frame; rows (ts, missed) when a timestamp's deadline passes.
+
+    Without a column ``stream`` all messages are of one stream, "in", whose watermark ends a deadline.
+    """
     use_rocksdb(df.sparkSession)
-    return df.groupBy("ts").transformWithStateInPandas(Timers(milliseconds), "ts long, missed boolean", "Append", "ProcessingTime")
+    rows = df if "stream" in df.columns else df.withColumn("stream", F.lit("in"))
+    return rows.groupBy("ts").transformWithStateInPandas(Timers(milliseconds, reads, writes, starts, ends), "ts long, missed boolean", "Append", "ProcessingTime")
