@@ -23,6 +23,13 @@ def test_the_registered_settings_meet_their_targets(spark):
         assert abs(row.target - row.reached) < 1e-6, row
 
 
+def test_a_rare_category_does_not_set_the_rate():
+    """One more source of a thousandth of a percent: the largest weight stays about that of a source of one percent."""
+    cells = [("a", "en", "t", 900_000), ("b", "en", "t", 90_000), ("c", "en", "t", 10_000)]
+    few, more = (mixing.rake(c, mixing.Settings()).max() for c in (cells, [*cells, ("d", "en", "t", 10)]))
+    assert more < 1.01 * few
+
+
 def test_marginals_of_explicit_targets_and_of_nothing(spark):
     docs = spark.createDataFrame([(k, "w " * (k % 7 + 1), f"s{k % 3}", None if k % 4 else "en") for k in range(300)], "doc_id long, text string, source string, lang string")
     got = {(r.dimension, r.category): r for r in mixing.marginals(docs, mixing.Settings(targets={"source": {"s0": 0.8, "s1": 0.1, "s2": 0.1}})).collect()}

@@ -13,7 +13,8 @@ A topic is the field whose word stems a text has most of, the first of those tha
 without any is told by its form.
 
 Targets are shares by category; by default each category's observed share to the power ``flatten``,
-normalised. A category that explicit targets do not name keeps its observed share, and the shares
+normalised. Categories below ``least_share`` are raised by the same factor as one of that share, so that
+a category of a few documents does not set the largest weight, and with it how little is drawn. A category that explicit targets do not name keeps its observed share, and the shares
 are normalised to 1.
 
 Defined results: null source and language are the category ``(none)``; a document without tokens
@@ -51,6 +52,7 @@ class Settings:
     """most_cells: the largest cell table that is raked on the driver and broadcast; beyond it Spark rakes and joins."""
 
     flatten: float = 0.7
+    least_share: float = 0.01
     rounds: int = 200
     tolerance: float = 1e-13
     seed: str = "mix"
@@ -96,13 +98,18 @@ def celled(docs: DataFrame) -> DataFrame:
     ).drop("__words")
 
 
-def shares(observed: dict[str, float], wanted: dict[str, float] | None, flatten: float) -> dict[str, float]:
+def shares(observed: dict[str, float], wanted: dict[str, float] | None, settings: Settings) -> dict[str, float]:
     total = sum(observed.values())
-    raw = {k: (wanted.get(k, v / total) if wanted else (v / total) ** flatten) for k, v in observed.items()}
+    flat = lambda share: share * max(share, settings.least_share) ** (settings.flatten - 1)
+    raw = {k: (wanted.get(k, v / total) if wanted else flat(v / total)) for k, v in observed.items()}
     norm = sum(raw.values())
     return {k: v / norm for k, v in raw.items()}
 
 
+def flattened(share: str, settings: Settings) -> Column:
+    return F.col(share) * F.pow(F.greatest(F.col(share), F.lit(settings.least_share)), F.lit(settings.flatten - 1))
+
+
 def rake(cells: list[tuple[str, str, str, int]], settings: Settings) -> np.ndarray:
     """Weights of the cells (source, lang, topic, tokens), in order."""
     tokens = np.array([c[3] for c in cells], float)
@@ -111,7 +118,7 @@ def rake(cells: list[tuple[str, str, str, int]], settings: Settings) -> np.ndarr
     for j, name in enumerate(DIMENSIONS):
         values, code = np.unique(np.array([c[j] for c in cells], dtype=object), return_inverse=True)
         observed = dict(zip(values, np.bincount(code, tokens)))
-        share = shares(observed, settings.targets.get(name), settings.flatten)
+        share = shares(observed, settings.targets.get(name), settings)
         codes.append(code)
         wanted.append(np.array([share[v] for v in values]))
     base = mass.copy()
@@ -134,7 +141,7 @@ def rake_frame(cells: DataFrame, settings: Settings) -> DataFrame:
             table = F.create_map(*[F.lit(x) for k, v in sorted(wanted.items()) for x in (k, float(v))])
             raw = F.coalesce(F.try_element_at(table, F.col(f"__{name}")), F.col("__share"))
         else:
-            raw = F.pow(F.col("__share"), F.lit(settings.flatten))
+            raw = flattened("__share", settings)
         observed = observed.withColumn("__raw", raw)
         norm = float(observed.agg(F.sum("__raw")).first()[0])
         frame = frame.join(observed.select(f"__{name}", (F.col("__raw") / F.lit(norm)).alias(f"__want_{name}")), f"__{name}")
@@ -202,7 +209,7 @@ def marginals(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         if wanted:
             raw = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in sorted(wanted.items()) for x in (k, float(v))]), F.col("category")), F.col("observed"))
         else:
-            raw = F.pow("observed", F.lit(settings.flatten))
+            raw = flattened("observed", settings)
         part = part.withColumn("__raw", raw)
         norm = part.agg(F.sum("__raw").alias("__norm"))
         part = part.join(F.broadcast(norm)).select("dimension", "category", "observed", (F.col("__raw") / F.col("__norm")).alias("target"), "reached")
@@ -218,7 +225,7 @@ def oracle(rounds: int = 40, settings: Settings = Settings(), source: str = "doc
             to = f"m{k}_{name}"
             steps.append(f"{to} AS MATERIALIZED (SELECT * REPLACE (mass * want_{name} / sum(mass) OVER (PARTITION BY {name}) AS mass) FROM {now})")
             now = to
-    wants = ", ".join(f"w_{n} AS (SELECT {n}, r / sum(r) OVER () AS want_{n} FROM (SELECT {n}, pow(sum(tokens) / (SELECT sum(tokens) FROM cells), {settings.flatten}) AS r FROM cells GROUP BY {n}))" for n in DIMENSIONS)
+    wants = ", ".join(f"w_{n} AS (SELECT {n}, r / sum(r) OVER () AS want_{n} FROM (SELECT {n}, share * pow(greatest(share, {settings.least_share}), {settings.flatten - 1}) AS r FROM (SELECT {n}, sum(tokens) / (SELECT sum(tokens) FROM cells) AS share FROM cells GROUP BY {n})))" for n in DIMENSIONS)
     counts = ", ".join("len(list_filter(words, lambda x: x IN (" + ", ".join(f"'{x}'" for x in field.split()) + "))) AS n_" + name for name, field in TOPICS.items())
     most = "greatest(" + ", ".join(f"n_{name}" for name in TOPICS) + ")"
     fields = " ".join(f"WHEN n_{name} = {most} THEN '{name}'" for name in TOPICS)
