@@ -49,6 +49,20 @@ def test_join_table(spark):
     assert got == [(1, "a", 1), (1, "a", 2), (1, "b", 1), (1, "b", 2), (4, "d", 4)]
 
 
+def test_join_with_a_flat_map_is_not_broadcast(spark):
+    """Catalyst takes a flat map's output for as large as its input, and would broadcast it from the driver."""
+    source = counter(spark, 50)
+    numbers = source.flat_map(lambda x: F.sequence(F.lit(1).cast("long"), x * 100 + 1))
+    again = Stream(numbers.concat(source).df)
+    for side in (numbers, again):
+        for joined in (source.timestamp_join(side), side.timestamp_join(source)):
+            plan = joined.df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert source.timestamp_join(again).df.count() == sum(x * 100 + 1 for x in range(50)) + 50
+    small = Stream(F.broadcast(source.df))
+    assert "BroadcastHashJoin" in numbers.timestamp_join(small).df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_typed_fanout(spark):
     squares = counter(spark, 6).map(lambda x: x * x)
     even, odd = squares.split(lambda x: x % 2 == 0)

@@ -121,7 +121,9 @@ class Stream:
         """Inner equi-join on the timestamp; data becomes struct<left, right>, the product in a timestamp.
 
         Streaming frames need an event-time column ``et`` of the timestamp on both sides;
-        ``left_watermark`` is the delay that bounds both sides' state.
+        ``left_watermark`` is the delay that bounds both sides' state. Batch frames are sorted and merged:
+        Catalyst does not count the rows that a flat map adds, and would collect such a side on the driver to
+        broadcast it. ``F.broadcast`` on the other stream's frame, if it is known to be small, still counts.
         """
         keys = ["ts"]
         left, right = self.df, other.df
@@ -131,6 +133,8 @@ class Stream:
             left, right, keys = left.withWatermark("et", left_watermark), right.withWatermark("et", left_watermark), ["et", "ts"]
         a = left.select(*keys, F.col("data").alias("__left"))
         b = right.select(*keys, F.col("data").alias("__right"))
+        if not (left.isStreaming or right.isStreaming):
+            a = a.hint("merge")
         return self._next(a.join(b, keys).select(*keys, F.struct(F.col("__left").alias("left"), F.col("__right").alias("right")).alias("data")), "TimestampJoinOp", other)
 
     def concat(self, *others: Stream) -> Stream:
