@@ -72,6 +72,28 @@ def test_features_of_one_document_by_hand():
         assert np.allclose(model.features([text], model.gains())[0], want)
 
 
+def test_repeated_windows_are_looked_up_once():
+    """A text's work on single words grows with its distinct words; the features count every occurrence."""
+    model = toxicity.Model(toxicity.Settings(), b"ordinary words of a text", b" gulker drogg ", whole=80)
+
+    class Counted(toxicity.Gains):
+        calls = 0
+
+        def __getitem__(self, key):
+            self.calls += 1
+            return super().__getitem__(key)
+
+    gains = model.gains()
+    counted = Counted(gains.plain, gains.marked, gains.of_class)
+    words = "a gulker a b drogg a gulker".split()
+    row = model.features([" ".join(words * 100)], counted)[0]
+    assert counted.calls == 4
+    saved, length = np.array([gains[toxicity.LEAD + f" {w} ".encode() + toxicity.TAIL] for w in words * 100]).T
+    covered = np.where(length <= model.whole, saved, 0)
+    assert row[:5].tolist() == [np.log1p(700), saved.mean(), covered.mean(), *sorted(covered)[:-3:-1]]
+    assert row[5:17].tolist() == [np.log1p((x >= g).sum()) for x in (saved, covered) for g in toxicity.GAINS]
+
+
 def test_a_repeated_labelled_row_is_one_training_row(spark):
     docs = spark.createDataFrame([(1, "b")] * 500 + [(1, "a"), (2, None), (3, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")

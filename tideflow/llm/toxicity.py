@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -66,8 +67,12 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def phrases(words: list[str], size: int) -> list[str]:
+    return words if size == 1 else [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
+
+
 def windows(words: list[str], size: int, lead: bytes = b"", tail: bytes = b"") -> list[bytes]:
-    return [lead + f" {' '.join(words[i : i + size])} ".encode() + tail for i in range(0, len(words), size)]
+    return [lead + f" {x} ".encode() + tail for x in phrases(words, size)]
 
 
 def surroundings(texts: list[str]) -> Counter:
@@ -90,24 +95,30 @@ def compressor(content: bytes, level: int, kind: int = zstandard.DICT_TYPE_RAWCO
 
 
 class Gains(dict):
-    """window -> (bytes that the toxic dictionary saves, compressed length with it); forgets all at half a million windows."""
+    """A window, or the phrase in it -> (bytes that the toxic dictionary saves, compressed length with it); forgets all
+    at half a million windows."""
 
     def __init__(self, plain, marked, of_class):
         super().__init__()
         self.plain, self.marked, self.of_class = plain, marked, of_class
 
-    def leanings(self, cut: list[bytes]) -> np.ndarray:
-        """By window of several words: how much shorter the toxic class's dictionary makes it."""
+    def leaning(self, cut: list[bytes]) -> float:
+        """How much shorter the toxic class's dictionary makes a window of several words, the mean."""
         ordinary, toxic = self.of_class
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in cut])
+        return (sum(map(len, map(ordinary, cut))) - sum(map(len, map(toxic, cut)))) / len(cut)
 
-    def __missing__(self, window: bytes) -> tuple[int, int]:
+    def __missing__(self, key: bytes | str) -> tuple[int, int]:
         if len(self) >= 500_000:
             self.clear()
+        window = key if isinstance(key, bytes) else windows([key], 1, LEAD, TAIL)[0]
         length = len(self.marked(window))
-        self[window] = value = (len(self.plain(window)) - length, length)
+        self[key] = value = (len(self.plain(window)) - length, length)
         return value
 
+    def of(self, distinct: Counter) -> np.ndarray:
+        """Gains and lengths of the phrases, in their order."""
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, distinct)), np.int64, 2 * len(distinct)).reshape(-1, 2).T
+
 
 def trained(samples: list[bytes], size: int, level: int) -> bytes:
     """A zstandard dictionary; too few samples for the trainer: the samples themselves."""
@@ -133,22 +144,24 @@ class Model:
         return Gains(compressor(self.ordinary, level), compressor(self.ordinary + self.toxic, level), of_class)
 
     def features(self, texts: list[str], gains: Gains) -> np.ndarray:
-        n = len(GAINS)
+        """Each distinct window of a text is looked up once, and counts as often as it stands there."""
+        n, least = len(GAINS), np.array(GAINS)[:, None]
         rows = np.zeros((len(texts), 6 + 4 * n))
         for k, text in enumerate(texts):
             words = words_of(text)
-            cut = windows(words, self.settings.window_words, LEAD, TAIL)
-            if not cut:
+            distinct = Counter(phrases(words, self.settings.window_words))
+            if not distinct:
                 continue
-            rows[k, -1] = gains.leanings(windows(words, self.settings.ordinary_window_words)).mean()
-            gain, length = np.array([gains[w] for w in cut]).T
-            covered = np.where(length <= self.whole, gain, 0)
-            top = np.sort(covered)[::-1][:2]
-            rows[k, :3] = np.log1p(len(cut)), gain.mean(), covered.mean()
+            rows[k, -1] = gains.leaning(windows(words, self.settings.ordinary_window_words))
+            gain, length = gains.of(distinct)
+            times = np.fromiter(distinct.values(), np.int64, len(distinct))
+            covered, total = np.where(length <= self.whole, gain, 0), times.sum()
+            top = np.sort(np.repeat(covered, np.minimum(times, 2)))[::-1][:2]
+            rows[k, :3] = np.log1p(total), gain @ times / total, covered @ times / total
             rows[k, 3 : 3 + len(top)] = top
-            counts = np.array([(x >= g).sum() for x in (gain, covered) for g in GAINS])
+            counts = np.concatenate([(x >= least) @ times for x in (gain, covered)])
             rows[k, 5 : 5 + 2 * n] = np.log1p(counts)
-            rows[k, 5 + 2 * n : 5 + 4 * n] = np.minimum(counts / len(cut), self.settings.most_share)
+            rows[k, 5 + 2 * n : 5 + 4 * n] = np.minimum(counts / total, self.settings.most_share)
         return rows
 
     def score(self, texts: list[str], gains: Gains) -> np.ndarray:
